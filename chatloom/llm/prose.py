@@ -18,12 +18,14 @@ _STRONG = re.compile(
     | \$\s\S | \$\w+\s*= | \./\S | >>>\s | PS>             # shell
     | (?:SELECT|INSERT\ INTO|UPDATE|DELETE\ FROM|CREATE|GRANT|ALTER|DROP|FROM|WHERE|GROUP\ BY|HAVING|ORDER\ BY|LIMIT|(?:LEFT|INNER|OUTER)?\ ?JOIN|VALUES)\ \S
     | make\ [\w-]+\s*$
-    | Traceback\ \(most | File\ " | \w+(?:Error|Exception):\s
+    | \d{4}-\d\d-\d\d[T\ ]\d\d:\d\d(?::\d\d)?\S*\s+\S | [A-Z][a-z]+-[A-Z]\w+\s+-\w | \w+\s+-\w+\s+\$\w
+    | (?i:Traceback\ \(most) | File\ " | \w+(?:Error|Exception):\s
     | [\w.\[\]"'$@:/-]+\s*(?:=|:=|<-|\+=|=>|==)\s*\S
     | (?:export|set|setenv|declare|local)\s+\w+=
     | "[^"]*"\s*:\s | '[^']*'\s*:\s
     | \[[\w.\- ]+\]\s*$                                   # section of a settings file
     | (?:fi|done|then|esac|end|else:?|try:|pass|break|continue)\s*;?\s*$
+    | \s{2,}(?:return|print|echo|raise|yield|exit)\s\w+\s*$
     | -----(?:BEGIN|END)\ [A-Z ]+-----
     | (?:commit|tree|parent|md5|sha1|sha256|blob|index|digest)[\s:=]+[0-9a-f]{7,}
     | [0-9a-f]{16,}\s*$ | [A-Za-z0-9+/]{40,}={0,2}\s*$
@@ -105,7 +107,7 @@ def lines(text: str) -> list[Line]:
         line = out[i].text
         after = next((x.kind for x in out[i + 1 : i + 4] if x.kind != "blank"), "")
         before = out[i - 1].kind if i else ""
-        if line.lstrip().startswith(("# ", "-- ", "// ")) and after == "code":
+        if line.lstrip().startswith(("# ", "-- ", "// ")) and after == "code" and not (line.startswith("# ") and re.search(r"[.。!?]\s*$", line)):
             out[i] = out[i]._replace(kind="code")
         elif before == after == "code" and len(_WORDLIKE.findall(line)) <= 4 and not re.search(r"[.!?:。！？]\s*$", line):
             out[i] = out[i]._replace(kind="code")
