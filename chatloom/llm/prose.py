@@ -57,7 +57,7 @@ class Line(NamedTuple):
     text: str
 
 
-def _looks_like_code(line: str) -> bool:
+def looks_like_code(line: str) -> bool:
     if _TAG.search(line) and any(_SENTENCE.search(x) for x in _TAG.split(line) if not _SIGNS_CODE.search(x)):
         return False
     if line.startswith(("{{", "# ")) and re.search(r"[.。!?][}\s]*$", line) and _SENTENCE.search(line):
@@ -98,7 +98,7 @@ def lines(text: str) -> list[Line]:
         elif not line.strip():
             out.append(Line(at, "blank", line))
         else:
-            out.append(Line(at, "code" if _looks_like_code(line) else "text", line))
+            out.append(Line(at, "code" if looks_like_code(line) else "text", line))
         at += len(raw) + 1
     # a comment above code, and a short line between lines of code, belong to the code
     for i in range(len(out) - 1, -1, -1):
