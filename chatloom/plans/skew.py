@@ -59,8 +59,8 @@ GROUP BY task_category HAVING count(*) * 20 >= (SELECT count(*) FROM enriched_re
     "p4_results": """
 SELECT 'raw_corpus.model' AS column_name, model AS key_value, count(*) AS n_rows,
        CAST(sum(coalesce(len(m), 0)) AS BIGINT) AS n_messages,
-       CAST(sum(coalesce(list_sum(list_transform(m, x -> coalesce(length(x.content), 0))), 0)) AS BIGINT) AS n_chars
-FROM (SELECT model, flatten(list_filter(conversation, t -> t IS NOT NULL)) AS m FROM raw_corpus) GROUP BY model
+       CAST(sum(coalesce(list_sum(list_transform(m, lambda x: coalesce(length(x.content), 0))), 0)) AS BIGINT) AS n_chars
+FROM (SELECT model, flatten(list_filter(conversation, lambda t: t IS NOT NULL)) AS m FROM raw_corpus) GROUP BY model
 UNION ALL
 SELECT 'enriched_records.task_category', task_category, count(*), count(*), CAST(sum(coalesce(length(user_prompt_original), 0)) AS BIGINT)
 FROM enriched_records GROUP BY task_category
