@@ -3,7 +3,7 @@
 ORACLES = {
     "p1_prompt_groups": r"""
 WITH first_prompt AS (
-    SELECT row_id, list_filter(flatten(list_filter(conversation, t -> t IS NOT NULL)), m -> lower(trim(m.role, E' \t\n\r')) = 'user')[1].content AS content
+    SELECT row_id, list_filter(flatten(list_filter(conversation, lambda t: t IS NOT NULL)), lambda m: lower(trim(m.role, E' \t\n\r')) = 'user')[1].content AS content
     FROM raw_corpus
 ), keyed AS (
     SELECT row_id, regexp_replace(replace(lower(content), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS k FROM first_prompt
