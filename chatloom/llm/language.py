@@ -41,28 +41,59 @@ def label_code(label: str | None) -> str | None:
     return _CODES.get(s) or _CODES.get(re.split(r"[-_ (/]", s)[0])
 
 
-_DROP = re.compile(
-    r"^(?:Author|Committer|Signed-off-by|Co-authored-by|Reviewed-by|Merge|Date|Cc):[^<\n]*(?:<[^>\n]*>\.?)?|^\d+(?:;[^;\n]*)+$|`[^`\n]*`|<!--.*?-->|</?[a-zA-Z][^<>\n]*>|&[a-zA-Z#0-9]{2,8};|https?://\S+|www\.\S+|\S+@\S+|\$[^$\n]+\$|\\\(.*?\\\)|\\\[.*?\\\]"
-    r"|\\(?:begin|end|label|cite|ref|usepackage)\*?\{[^{}\n]*\}(?:\[[^\]]*\])?|\\[a-zA-Z]+\*?|\]\([^)\n]*\)|\[\[[^\]|\n]*\||\[\[[^\]|\n]*\]\]|\{\{[^|}\n]*\||\{(?:code|noformat|quote|panel|color)(?:[:=][^}\n]*)?\}|^h[1-6]\.\s"
-    r"|[\w.-]*[a-zA-Z_]\w*(?:[_/\\][\w./\\-]+|\.[a-zA-Z_]\w*|\(\d*\)|::\w+)|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|\w*\d\w*",
-    re.M,
+#: Stretches that are no prose, looked for in lines that have one of the signs they start with, and lines that name people.
+_SIGN = re.compile(r"[`<&$\\\[{|]|://|www\.|@")
+_SPAN = re.compile(
+    r"<code[^>]*>.*|`[^`\n]*`|<!--.*?-->|</?[a-zA-Z][^<>\n]*>|&[a-zA-Z#0-9]{2,8};|https?://\S+|www\.\S+|\S+@\S+|\$[^$\n]+\$|\\\(.*?\\\)|\\\[.*?\\\]"
+    r"|\\(?:begin|end|label|cite|ref|usepackage)\*?\{[^{}\n]*\}(?:\[[^\]]*\])?|\\[a-zA-Z]+\*?|\]\([^)\n]*\)|\[\[[^\]|\n]*\||\[\[[^\]|\n]*\]\]|\{\{[^|}\n]*\||\{(?:code|noformat|quote|panel|color)(?:[:=][^}\n]*)?\}"
 )
-_SPLIT = re.compile(r"(?<=[.!?;:])[\"')\]*_~]*\s+|(?<=[。！？；：])|\n|\|| - | – | — ")
+_NAMES = re.compile(r"^(?:Author|Committer|Signed-off-by|Co-authored-by|Reviewed-by|Merge|Date|Cc):[^<\n]*(?:<[^>\n]*>\.?)?|^\d+(?:;[^;\n]*)+$|^h[1-6]\.\s")
+_CAMEL = re.compile(r"[a-z0-9][A-Z][a-z]")
+_EDGE = ".,!?;:\"'()[]{}*~«»“”„‘’¿¡…|<>=+#-–—/"
+_STOP = frozenset(".!?;:|")
+_CLOSE = "\"')]*~»”’}"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_CJK_NAME = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_.()/-]*")
+_CJK_STOP = re.compile(r"[。！？；：]")
 
 
 def units(text: str) -> list[str]:
     """Runs of prose between sentence marks and line ends: code, identifiers, markup and numbers are left out."""
-    rows = [r.text for r in prose.lines(text) if r.kind == "text"]
-    if not rows:
-        return []
-    body = _DROP.sub(" ", "\n".join(rows))
-    out = []
-    for part in _SPLIT.split(body):
-        words = _LETTERS.findall(part)
-        if words:
-            out.append(" ".join(words).lower())
+    out: list[str] = []
+    for row in prose.lines(text):
+        if row.kind != "text":
+            continue
+        line = row.text
+        if line[:1].isdigit() or line[:1] in "ACDMRSh":
+            line = _NAMES.sub(" ", line)
+        if _SIGN.search(line):
+            line = _SPAN.sub(" ", line.replace("|", " | "))
+        run: list[str] = []
+        for token in line.split():
+            if token.isalpha() and token.isascii() and (token.islower() or token.istitle()):
+                run.append(token)
+                continue
+            core = token.strip(_EDGE)
+            if not core:
+                pass
+            elif _CJK.search(core):
+                parts = _CJK_STOP.split(_CJK_NAME.sub(" ", core))
+                for i, part in enumerate(parts):
+                    if i and run:
+                        out.append(" ".join(run).lower())
+                        run = []
+                    run += _LETTERS.findall(part)
+            elif core.isalpha():
+                if not _CAMEL.search(core):
+                    run.append(core)
+            elif not any(ch.isdigit() or ch in "_/\\@()=.$" for ch in core):
+                run += _LETTERS.findall(core)
+            if run and (token.rstrip(_CLOSE)[-1:] in _STOP or token[-1] in "。！？；："):
+                out.append(" ".join(run).lower())
+                run = []
+        if run:
+            out.append(" ".join(run).lower())
     return out
 
 

@@ -19,7 +19,7 @@ _STRONG = re.compile(
     | (?:SELECT|INSERT\ INTO|UPDATE|DELETE\ FROM|CREATE|GRANT|ALTER|DROP|FROM|WHERE|GROUP\ BY|HAVING|ORDER\ BY|LIMIT|(?:LEFT|INNER|OUTER)?\ ?JOIN|VALUES)\ \S
     | make\ [\w-]+\s*$
     | \d{4}-\d\d-\d\d[T\ ]\d\d:\d\d(?::\d\d)?\S*\s+\S | [A-Z][a-z]+-[A-Z]\w+\s+-\w | \w+\s+-\w+\s+\$\w
-    | (?i:Traceback\ \(most) | File\ " | \w+(?:Error|Exception):\s
+    | (?i:Traceback\ \(most) | File\ " | (?i:\w+(?:error|exception):\s)
     | [\w.\[\]"'$@:/-]+\s*(?:=|:=|<-|\+=|=>|==)\s*\S
     | (?:export|set|setenv|declare|local)\s+\w+=
     | "[^"]*"\s*:\s | '[^']*'\s*:\s

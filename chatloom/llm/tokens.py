@@ -18,7 +18,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 RUN_CHARS = 4_000_000
 KEPT_WORDS = 400_000
 #: The split pattern of this vocabulary, with the Unicode White_Space property spelt out.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 # One step of the recursion contracts, in each word that still has a known pair, every occurrence of its pair of
