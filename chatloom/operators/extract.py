@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,10 +67,10 @@ def json_paths(df: DataFrame, column: str) -> DataFrame:
     counted per batch before anything is shuffled. Unreadable text and null have no paths.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: dict[str, int] = {}
-            for text in b["_json"]:
+            for text in b.column(0).to_pylist():
                 try:
                     stack = [(json.loads(text), "", 0)] if text is not None else []
                 except ValueError:
@@ -83,9 +84,9 @@ def json_paths(df: DataFrame, column: str) -> DataFrame:
                             stack.append((v, p, level + 1))
                     elif isinstance(x, list) and level < MOST_LEVELS:
                         stack += [(v, f"{path}[]", level + 1) for v in x[:MOST_ITEMS]]
-            yield pd.DataFrame({"key_path": list(n), "n": list(n.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["key_path", "n"])
 
-    paths = df.select(F.col(column).cast("string").alias("_json")).mapInPandas(run, "key_path string, n long")
+    paths = df.select(F.col(column).cast("string").alias("_json")).mapInArrow(run, "key_path string, n long")
     return paths.groupBy("key_path").agg(F.sum("n").alias("n_values"))
 
 

@@ -48,11 +48,12 @@ def choose(paths: list[str], file: str | None = None, start: str | None = None,
 def scan(spark: SparkSession, folder: str, max_rows_per_file: int | None = None, **which) -> DataFrame:
     """The corpus with its canonical columns and places (source_file, source_row_position).
 
-    Columns that files lack are null, columns beyond the canonical ones are kept; a scalar or differently named
-    snippet column becomes an array. ``max_rows_per_file`` is a filter on the position within a file.
+    Places come from the files, whatever columns of these names they hold. Columns that files lack are null,
+    columns beyond the canonical ones are kept; a scalar or differently named snippet column becomes an array. ``max_rows_per_file`` is a filter on the position within a file.
     """
     df = spark.read.parquet(*choose(files(spark, folder), **which))
-    df = df.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("source_row_position"))
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("source_file", "source_row_position")]
+    df = df.select(*own, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("source_row_position"))
     if max_rows_per_file is not None:
         df = df.where(F.col("source_row_position") < max_rows_per_file)
     return canonical(df)

@@ -32,9 +32,12 @@ def first_per_key(stream: DataFrame, key: str, event_time: str, late: str) -> Da
     return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark([key])
 
 
-def call_windows(calls: DataFrame, event_time: str = "called_at", width: str = "1 hour", late: str = "7 days") -> DataFrame:
-    """(window_start, call_kind, n_calls, n_failed) of calls; rows later than ``late`` are left out on a stream."""
-    rows = calls.withWatermark(event_time, late) if calls.isStreaming else calls
+def call_windows(calls: DataFrame, event_time: str = "called_at", width: str = "1 hour", late: str | None = "7 days") -> DataFrame:
+    """(window_start, call_kind, n_calls, n_failed) of calls; rows later than ``late`` are left out on a stream.
+
+    None keeps the watermark that the stream has already.
+    """
+    rows = calls.withWatermark(event_time, late) if calls.isStreaming and late else calls
     failed = F.count_if(F.coalesce(F.col("http_status") >= 400, F.lit(True)))
     return rows.groupBy(F.window(event_time, width).alias("w"), "call_kind").agg(F.count("*").alias("n_calls"), failed.alias("n_failed")).select(
         F.col("w.start").alias("window_start"), "call_kind", "n_calls", "n_failed"
