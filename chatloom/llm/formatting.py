@@ -14,8 +14,8 @@ _MESSAGE = "struct<role:variant,content:variant,language:variant>"
 
 
 def letters_and_digits(c: Column) -> Column:
-    """The letters and digits of a text in order, case ignored (upper first, so that sharp s equals ss)."""
-    return F.regexp_replace(F.lower(F.upper(c)), r"[^\p{L}\p{N}]", "")
+    """The letters and digits of a text in order, case ignored: sharp s equals ss, a final sigma any sigma."""
+    return F.regexp_replace(F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ"), r"[^\p{L}\p{N}]", "")
 
 
 def prompt_key(conversation: Column) -> Column:

@@ -128,7 +128,7 @@ def grow(texts: dict[str, list[str]], langs: list[str]) -> Trees:
     """
     keys, bits, contexts, escapes = [], [], [], []
     pad = b"\n" * (ORDER + 1)
-    data = {x: pad + b"\n".join(t.encode() for t in texts.get(x, [])) + pad for x in langs}
+    data = {x: pad + (b"\n" * ORDER).join(t.encode() for t in texts.get(x, [])) + pad for x in langs}
     for k in range(1, ORDER + 2):
         counted = [np.unique(_grams(data[x], k), return_counts=True) for x in langs]
         key = np.unique(np.concatenate([u for u, _ in counted]))
@@ -160,8 +160,9 @@ def code_lengths(texts: list[str], trees: Trees) -> np.ndarray:
     """Bits that each text takes in each language (rows: texts)."""
     if not texts:
         return np.zeros((0, len(trees.langs)), np.float32)
+    gap = b"\n" * ORDER  # every text starts in the same context, whatever stands before it
     coded = [t.encode() for t in texts]
-    data = b"\n" * ORDER + b"\n".join(coded) + b"\n"
+    data = gap + gap.join(coded)
     total = np.zeros((len(data) - ORDER, len(trees.langs)), np.float32)
     todo = np.arange(len(total))
     key = _grams(data, ORDER + 1)
@@ -177,8 +178,10 @@ def code_lengths(texts: list[str], trees: Trees) -> np.ndarray:
         known = trees.contexts[k - 1][j] == context
         total[todo[known]] += trees.escapes[k - 1][j[known]]
     total[todo] += 8
-    ends = np.cumsum([len(c) + 1 for c in coded])
-    return np.add.reduceat(total, np.concatenate([[0], ends[:-1]]), axis=0)
+    sums = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(total, axis=0, dtype=np.float64)])
+    ends = np.cumsum([len(c) + ORDER for c in coded]) - ORDER
+    starts = ends - [len(c) for c in coded]
+    return (sums[ends] - sums[starts]).astype(np.float32)
 
 
 def train(labelled: list[tuple[str, str]]) -> Trees:

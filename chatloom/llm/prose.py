@@ -44,6 +44,8 @@ _YAML = re.compile(r"^\s*(?:-\s+)?[A-Za-z_][\w.-]*:(?:\s+(?P<v>\S.*))?$")
 _STATEMENT = re.compile(rf"^\s*(?:{_KEYWORD})\b.*(?:[:;{{(=]|\bimport\b|\w\.\w|\(\)|\./|\w/\w|--\w)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&\w{2,8};")
 _SENTENCE = re.compile(r"\w+(?:[ ,;'’]+\w+){3,}|[぀-ヿ一-鿿]{6,}")
+_WORDS = re.compile(r"[^\W\d_]+(?:[ ,;'’]+\w+){2,}|[぀-ヿ一-鿿]{6,}")
+_MATH = re.compile(r"\$[^$\s](?:[^$\n]*[^$\s])?\$(?!\w)")
 _CALL = re.compile(r"^\s*[\w.$]+(?:\([^()]*\)|\(.*\))\s*;?\s*$")
 _SIGNS_CODE = re.compile(r"[{}\[\];=<>$]|\w\(|::")
 _SIGNS = re.compile(r"[{}\[\]();=<>|&$\\/@#*_:\"'`+^%~]")
@@ -58,8 +60,10 @@ class Line(NamedTuple):
 
 
 def looks_like_code(line: str) -> bool:
-    if _TAG.search(line) and any(_SENTENCE.search(x) for x in _TAG.split(line) if not _SIGNS_CODE.search(x)):
-        return False
+    if "<" in line or "&" in line or "$" in line:
+        rest = _MATH.sub(" ", line)
+        if any(_WORDS.search(x) for x in _TAG.split(rest) if not _SIGNS_CODE.search(x)) and (rest != line or _TAG.search(line)):
+            return False
     if line.startswith(("{{", "# ")) and re.search(r"[.。!?][}\s]*$", line) and _SENTENCE.search(line):
         return False
     if _STRONG.match(line):
