@@ -19,7 +19,7 @@ from . import prose
 #: Bound of the sample of labelled messages that the context trees are built from.
 SAMPLE_MESSAGES = 16_000
 #: Longest context in bytes; a change of language inside a text costs so many bits.
-ORDER, SWITCH_BITS = 4, 14.0
+ORDER, SWITCH_BITS = 4, 24.0
 #: Units scored before are looked up while at most so many are kept per task; this bounds memory, not results.
 KEPT_UNITS = 200_000
 
@@ -44,8 +44,8 @@ def label_code(label: str | None) -> str | None:
 #: Stretches that are no prose, looked for in lines that have one of the signs they start with, and lines that name people.
 _SIGN = re.compile(r"[`<&$\\\[{|]|://|www\.|@")
 _SPAN = re.compile(
-    r"<code[^>]*>.*|`[^`\n]*`|<!--.*?-->|</?[a-zA-Z][^<>\n]*>|&[a-zA-Z#0-9]{2,8};|https?://\S+|www\.\S+|\S+@\S+|\$[^$\n]+\$|\\\(.*?\\\)|\\\[.*?\\\]"
-    r"|\\(?:begin|end|label|cite|ref|usepackage)\*?\{[^{}\n]*\}(?:\[[^\]]*\])?|\\[a-zA-Z]+\*?|\]\([^)\n]*\)|\[\[[^\]|\n]*\||\[\[[^\]|\n]*\]\]|\{\{[^|}\n]*\||\{(?:code|noformat|quote|panel|color)(?:[:=][^}\n]*)?\}"
+    r"<code[^>]*>.*|`[^`\n]*`|<!--.*?-->|</?[a-zA-Z][^<>\n]*>|&[a-zA-Z#0-9]{2,8};|https?://\S+|www\.\S+|(?<![^\s@])[^\s@]++@\S+|\$[^$\n]+\$|\\\(.*?\\\)|\\\[.*?\\\]"
+    r"|\\(?:begin|end|label|cite|ref|usepackage)\*?\{[^{}\n]*\}(?:\[[^\]]*\])?|\\[a-zA-Z]+\*?|\]\([^)\n]*\)|\[\[[^\[\]|\n]*+\||\[\[[^\[\]|\n]*+\]\]|\{\{[^{|}\n]*+\||\{(?:code|noformat|quote|panel|color)(?:[:=][^}\n]*)?\}"
 )
 _NAMES = re.compile(r"^(?:Author|Committer|Signed-off-by|Co-authored-by|Reviewed-by|Merge|Date|Cc):[^<\n]*(?:<[^>\n]*>\.?)?|^\d+(?:;[^;\n]*)+$|^h[1-6]\.\s")
 _CAMEL = re.compile(r"[a-z0-9][A-Z][a-z]")

@@ -115,7 +115,7 @@ def found(text: str | None) -> list[str]:
     """The markups that a text is written in, sorted; none for null and blank texts."""
     if not text or not text.strip():
         return []
-    rest, seen = _code_out(text)
+    rest, seen = _code_out(prose.LONG_SPACE.sub(" " * 40, text))
     rows = prose.lines(rest)
     # HTML: runs of lines with tags, whatever the line rules call them
     run: list[str] = []
@@ -166,7 +166,7 @@ _SECTION = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "pa
 def clean(text: str | None) -> str | None:
     """Clean text that keeps structure in one light notation: headings as ``#`` lines, list items as ``-`` or
     ``1.`` lines, code blocks between ``` fences unchanged, formulas as ``$...$``; emphasis, links, tables,
-    comments and entities become their plain text. Null stays null; text without markup stays as it is.
+    comments and entities become their plain text; runs of more than 40 spaces outside of code blocks are cut to 40. Null stays null; text without markup stays as it is.
     """
     if text is None or not found(text):
         return text
@@ -199,6 +199,7 @@ def clean(text: str | None) -> str | None:
     t = _LST.sub(lambda m: block(m[2] or ""), t)
     t = re.sub(r"\\begin\{(equation|align|displaymath)\*?\}(.*?)\\end\{\1\*?\}", lambda m: keep(f"${m[2].strip()}$"), t, flags=re.S)
     t = _TEX_MATH.sub(lambda m: keep("$" + m[0].strip("$").removeprefix("\\(").removesuffix("\\)").removeprefix("\\[").removesuffix("\\]").strip() + "$"), t)
+    t = prose.LONG_SPACE.sub(" " * 40, t)
     # code outside of fences is kept as it is
     t = "\n".join(keep(r.text) if r.kind == "code" and not _HTML_TAG.search(r.text) and "\x00" not in r.text else r.text for r in prose.lines(t))
     t = _HEAD_TAG.sub(lambda m: "\n" + "#" * int(m[1]) + " " + m[2].strip() + "\n", t)

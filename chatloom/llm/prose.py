@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+#: Longer runs of white space tell nothing more; patterns see them shortened.
+LONG_SPACE = re.compile(r"[^\S\n]{41,}")
 FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})[ \t]*([^`~\n]*)$")
 _KEYWORD = (
     r"def|class|function|func|fn|const|let|var|return|import|from|export|public|private|protected|static|package|using|namespace|"
@@ -25,7 +27,7 @@ _STRONG = re.compile(
     | "[^"]*"\s*:\s | '[^']*'\s*:\s
     | \[[\w.\- ]+\]\s*$                                   # section of a settings file
     | (?:fi|done|then|esac|end|else:?|try:|pass|break|continue)\s*;?\s*$
-    | \s{2,}(?:return|print|echo|raise|yield|exit)\s\w+\s*$
+    | (?<=\s\s)(?:return|print|echo|raise|yield|exit)\s\w+\s*$
     | -----(?:BEGIN|END)\ [A-Z ]+-----
     | (?:commit|tree|parent|md5|sha1|sha256|blob|index|digest)[\s:=]+[0-9a-f]{7,}
     | [0-9a-f]{16,}\s*$ | [A-Za-z0-9+/]{40,}={0,2}\s*$
@@ -38,13 +40,13 @@ _STRONG = re.compile(
     )""",
     re.X,
 )
-_ENDS = re.compile(r"[;{]\s*$|\)\s*[{;,]\s*$|^\s+.*[,(\[]\s*$|\\\s*$|(?<!\w)[}\])]+[;,)]*\s*$")
+_ENDS = re.compile(r"[;{]\s*$|\)\s*[{;,]\s*$|^\s.*[,(\[]\s*$|\\\s*$|(?<!\w)[}\])]+[;,)]*\s*$")
 _WORDLIKE = re.compile(r"[^\W\d_]{2,}")
 _YAML = re.compile(r"^\s*(?:-\s+)?[A-Za-z_][\w.-]*:(?:\s+(?P<v>\S.*))?$")
 _STATEMENT = re.compile(rf"^\s*(?:{_KEYWORD})\b.*(?:[:;{{(=]|\bimport\b|\w\.\w|\(\)|\./|\w/\w|--\w)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&\w{2,8};")
-_SENTENCE = re.compile(r"\w+(?:[ ,;'’]+\w+){3,}|[぀-ヿ一-鿿]{6,}")
-_WORDS = re.compile(r"[^\W\d_]+(?:[ ,;'’]+\w+){2,}|[぀-ヿ一-鿿]{6,}")
+_SENTENCE = re.compile(r"(?<!\w)\w++(?:[ ,;'’]++\w++){3,}|[぀-ヿ一-鿿]{6,}")
+_WORDS = re.compile(r"(?<!\w)[^\W\d_]++(?:[ ,;'’]++\w++){2,}|[぀-ヿ一-鿿]{6,}")
 _MATH = re.compile(r"\$[^$\s](?:[^$\n]*[^$\s])?\$(?!\w)")
 _CALL = re.compile(r"^\s*[\w.$]+(?:\([^()]*\)|\(.*\))\s*;?\s*$")
 _SIGNS_CODE = re.compile(r"[{}\[\];=<>$]|\w\(|::")
@@ -60,9 +62,11 @@ class Line(NamedTuple):
 
 
 def looks_like_code(line: str) -> bool:
+    line = LONG_SPACE.sub(" " * 40, line)
     if "<" in line or "&" in line or "$" in line:
         rest = _MATH.sub(" ", line)
-        if any(_WORDS.search(x) for x in _TAG.split(rest) if not _SIGNS_CODE.search(x)) and (rest != line or _TAG.search(line)):
+        words = _WORDS if rest != line else _SENTENCE
+        if (rest != line or _TAG.search(line)) and any(words.search(x) for x in _TAG.split(rest) if not _SIGNS_CODE.search(x)):
             return False
     if line.startswith(("{{", "# ")) and re.search(r"[.。!?][}\s]*$", line) and _SENTENCE.search(line):
         return False
