@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.messages import flat, nth_user
+from ..session import checkpoint_dir
 
 #: A canonical key is hot from this share of all rows on; so at most 1 / HOT_SHARE hot keys are broadcast.
 HOT_SHARE = 0.001
@@ -21,7 +22,7 @@ def letters_and_digits(c: Column) -> Column:
 def prompt_key(conversation: Column) -> Column:
     """Canonical key of the first user prompt: null for no prompt, a null one, and one without letter or digit."""
     text = letters_and_digits(nth_user(flat(conversation))["content"])
-    return F.when(text != "", F.sha2(text, 256))
+    return F.when(text != "", F.unhex(F.sha2(text, 256)))
 
 
 def payload_key(payload: Column) -> Column:
@@ -44,7 +45,7 @@ def payload_key(payload: Column) -> Column:
     nested = F.flatten(F.transform(turns, lambda t: F.coalesce(F.try_variant_get(t, "$", "array<variant>"), F.array(t))))
     parts = F.transform(nested, lambda m: F.concat_ws("\u001f", text(m, "$.role"), text(m, "$.content"), text(m, "$.language")))
     head = F.concat_ws("\u001f", text(record, "$.conversation_id"), text(record, "$.model"), text(record, "$.turn"))
-    return F.when(parts.isNotNull(), F.sha2(F.concat_ws("\u001e", head, F.array_join(parts, "\u001e")), 256))
+    return F.when(parts.isNotNull(), F.unhex(F.sha2(F.concat_ws("\u001e", head, F.array_join(parts, "\u001e")), 256)))
 
 
 def hot_keys(rows: DataFrame, share: float = HOT_SHARE) -> DataFrame:
@@ -54,6 +55,12 @@ def hot_keys(rows: DataFrame, share: float = HOT_SHARE) -> DataFrame:
     return counts.where((F.col("_n") > 1) & (F.col("_n") >= F.lit(share) * total.scalar())).select("_key")
 
 
+def keyed(df: DataFrame, id_column: str, key: Column) -> DataFrame:
+    """(_id, _key) of the rows that have both, written to the checkpoint folder: texts are read and keyed once."""
+    checkpoint_dir(df.sparkSession)
+    return df.select(F.col(id_column).cast("long").alias("_id"), key.alias("_key")).where("_key IS NOT NULL AND _id IS NOT NULL").checkpoint()
+
+
 def collapse(df: DataFrame, id_column: str, key: Column, share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
     """One row per group of equal canonical keys: (key, first_id, n_copies), first_id the smallest id.
 
@@ -61,15 +68,18 @@ def collapse(df: DataFrame, id_column: str, key: Column, share: float = HOT_SHAR
     all others by one shuffle. Rows with a null key are left out; repeated ids count as copies each; an empty
     table gives no groups. Other columns of ``df`` are not read, whatever their names.
     """
-    rows = _keyed(df, id_column, key)
-    hot = F.broadcast(hot_keys(rows, share))
+    rows = keyed(df, id_column, key)
+    return _groups(rows, F.broadcast(hot_keys(rows, share)), salts).withColumnRenamed("_key", "key")
+
+
+def _groups(rows: DataFrame, hot: DataFrame, salts: int = SALTS) -> DataFrame:
     heavy = rows.join(hot, "_key", "left_semi").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
     two = (
         heavy.groupBy("_key", "_salt").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
         .groupBy("_key").agg(F.min("_first").alias("first_id"), F.sum("_n").alias("n_copies"))
     )
     one = rows.join(hot, "_key", "left_anti").groupBy("_key").agg(F.min("_id").alias("first_id"), F.count("*").alias("n_copies"))
-    return two.unionByName(one).withColumnRenamed("_key", "key")
+    return two.unionByName(one)
 
 
 def copies(df: DataFrame, id_column: str, key: Column, share: float = HOT_SHARE) -> DataFrame:
@@ -78,19 +88,15 @@ def copies(df: DataFrame, id_column: str, key: Column, share: float = HOT_SHARE)
     Rows of hot groups meet their representative in a broadcast join of at most 1/share rows, so that no group
     is gathered in one task; those of other groups in a join on the key.
     """
-    rows = _keyed(df, id_column, key)
+    rows = keyed(df, id_column, key)
     hot = F.broadcast(hot_keys(rows, share))
-    groups = collapse(df, id_column, key, share).where("n_copies > 1").select(F.col("key").alias("_key"), "first_id")
+    groups = _groups(rows, hot).where("n_copies > 1").select("_key", "first_id")
     of_hot = rows.join(hot, "_key", "left_semi").join(F.broadcast(groups.join(hot, "_key", "left_semi")), "_key")
     of_rest = rows.join(hot, "_key", "left_anti").join(groups.join(hot, "_key", "left_anti"), "_key")
     both = of_hot.unionByName(of_rest).where("_id <> first_id")
     return both.select("first_id", F.col("_id").alias("copy_id")).distinct()
 
 
-def _keyed(df: DataFrame, id_column: str, key: Column) -> DataFrame:
-    return df.select(F.col(id_column).cast("long").alias("_id"), key.alias("_key")).where("_key IS NOT NULL AND _id IS NOT NULL")
-
-
 def found(raw: DataFrame, payloads: DataFrame) -> DataFrame:
     """(table_name, first_id, copy_id) for the prompts of raw_corpus and the records of raw_payloads."""
     a = copies(raw, "row_id", prompt_key(F.col("conversation"))).select(F.lit("raw_corpus").alias("table_name"), "*")

@@ -46,7 +46,7 @@ def test_payload_encodings(spark):
 def test_hot_keys_are_split_and_whole(spark):
     rows = [(i, "same TEXT" if i % 3 == 0 else f"t {i % 700}") for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, t string")
-    key = F.sha2(formatting.letters_and_digits(F.col("t")), 256)
+    key = F.unhex(F.sha2(formatting.letters_and_digits(F.col("t")), 256))
     groups = defaultdict(list)
     for i, t in rows:
         groups[plain(t)].append(i)
