@@ -90,18 +90,24 @@ _WIKI_CODE = re.compile(r"\{(code|noformat)(?:[:=][^}\n]*)?\}(.*?)(?:\{\1\}|\Z)|
 _LST = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]\n]*\])?(?:\{\w+\})?(.*?)(?:\\end\{\1\}|\Z)", re.S)
 
 
+#: Without one of these signs a text holds no construct of any markup; marked lines start with one of _MARKS.
+_SIGN = re.compile(r"[`*~#<>&\\$|{}\[\]=]|(?<!\w)_|''|//|__|^\s*(?:[-+]|\d{1,3}[.)])\s|^[;:]|^\s*h[1-6]\.|^\s*bq\.|-{3}", re.M)
+_MARKS = frozenset("#>-*+|:;[={}!_~0123456789h'b\t")
+
+
 def _code_out(text: str) -> tuple[str, set[str]]:
     """The text without the code of wiki, LaTeX and HTML code blocks, and the markups these blocks are written in."""
     seen: set[str] = set()
-    fences = [x for x in prose.lines(text) if x.kind in ("fence", "fenced")]
-    if fences:
-        seen.add("markdown")
-        drop = {x.start for x in fences}
-        text = "\n".join(x.text for x in prose.lines(text) if x.start not in drop)
-    for name, block in (("wiki", _WIKI_CODE), ("latex", _LST), ("html", _PRE)):
-        text, n = block.subn("\n", text)
-        if n:
-            seen.add(name)
+    if "```" in text or "~~~" in text:
+        rows = prose.lines(text)
+        if any(x.kind == "fence" for x in rows):
+            seen.add("markdown")
+            text = "\n".join(x.text for x in rows if x.kind not in ("fence", "fenced"))
+    for name, block, sign in (("wiki", _WIKI_CODE, "{"), ("latex", _LST, "\\begin"), ("html", _PRE, "<")):
+        if sign in text:
+            text, n = block.subn("\n", text)
+            if n:
+                seen.add(name)
     return text, seen
 
 
@@ -115,38 +121,51 @@ def found(text: str | None) -> list[str]:
     """The markups that a text is written in, sorted; none for null and blank texts."""
     if not text or not text.strip():
         return []
+    if not _SIGN.search(text):
+        return []
     rest, seen = _code_out(prose.LONG_SPACE.sub(" " * 40, text))
+    if not _SIGN.search(rest):
+        return sorted(seen)
     rows = prose.lines(rest)
-    # HTML: runs of lines with tags, whatever the line rules call them
-    run: list[str] = []
-    for row in [*rows, prose.Line(0, "blank", "")]:
-        if _HTML_TAG.search(row.text):
-            run.append(row.text)
-        elif run:
-            if _is_prose_markup(run) or (len(run) == 1 and not _is_code_tag(run[0])):
-                seen.add("html")
-            run = []
+    if "<" in rest:
+        # runs of lines with tags, whatever the line rules call them
+        run: list[str] = []
+        for row in [*rows, prose.Line(0, "blank", "")]:
+            if "<" in row.text and _HTML_TAG.search(row.text):
+                run.append(row.text)
+            elif run:
+                if _is_prose_markup(run) or (len(run) == 1 and not _is_code_tag(run[0])):
+                    seen.add("html")
+                run = []
     kept = [r for r in rows if r.kind in ("text", "blank")]
     body = "\n".join(r.text for r in kept)
-    if any(_entity_counts(r.text) for r in kept):
+    if "&" in body and any(_entity_counts(r.text) for r in kept):
         seen.add("html")
-    if _TEX_ENV.search(rest) or _TEX_COMMAND.search(body) or _TEX_BREAK.search(body) or any(_TEX_MATH.search(r.text) for r in kept) or re.search(r"(?<!\\)\\\[.+?\\\]", rest):
-        seen.add("latex")
-    plain = _HTML_TAG.sub(" ", _TEX_MATH.sub(" ", body))
+    if "\\" in rest or "$" in body:
+        math = any(_TEX_MATH.search(r.text) for r in kept) or re.search(r"(?<!\\)\\\[.+?\\\]", rest)
+        if math or _TEX_ENV.search(rest) or _TEX_COMMAND.search(body) or _TEX_BREAK.search(body):
+            seen.add("latex")
+    plain = _HTML_TAG.sub(" ", _TEX_MATH.sub(" ", body)) if "<" in body or "$" in body or "\\" in body else body
     lines = plain.split("\n")
-    wiki = any(p.search(x) for x in lines for k, p in _WIKI_LINE.items() if k not in ("rule", "definition"))
-    inline = _WIKI_INLINE.search(plain)
-    if wiki or inline or any(_WIKI_LINE["jira"].search(r.text) or (r.kind != "blank" and _WIKI_LINE["table"].search(r.text) and not r.text.strip().startswith("!")) for r in rows):
+    marked = [x for x in lines if x.lstrip(" ")[:1] in _MARKS and x]
+    if any(p.search(x) for x in marked for k, p in _WIKI_LINE.items() if k not in ("rule", "definition")) or _WIKI_INLINE.search(plain):
+        seen.add("wiki")
+    elif any(_WIKI_LINE["jira"].search(r.text) or (r.kind != "blank" and _WIKI_LINE["table"].search(r.text) and not r.text.strip().startswith("!")) for r in rows if r.kind != "text" and r.text.lstrip(" ")[:1] in _MARKS):
         seen.add("wiki")
-    if any(_WIKI_NUMBER.match(x) for x in lines) or any(_WIKI_LINE["definition"].match(x) and prose._SENTENCE.search(x) for x in lines):
+    elif any(_WIKI_NUMBER.match(x) or (_WIKI_LINE["definition"].match(x) and prose._SENTENCE.search(x)) for x in marked):
         seen.add("wiki")
     in_wiki = "wiki" in seen
-    md = any(p.search(x) for x in lines for k, p in _MD_LINE.items() if not (k == "heading" and (in_wiki or _WIKI_NUMBER.match(x))))
-    md = md or bool(_MD_INLINE.search(_WIKI_INLINE.sub(" ", plain))) or bool(_MD_OPEN.search(_WIKI_INLINE.sub(" ", plain)))
-    md = md or any(_MD_NUMBER.match(x) for x in lines) or (not in_wiki and any(_MD_BULLET.match(x) for x in lines))
-    md = md or (not in_wiki and any((_MD_RULE.match(x) or (_MD_SETEXT.match(x) and i and lines[i - 1].strip())) for i, x in enumerate(lines)))
-    if md:
-        seen.add("markdown")
+    if "markdown" not in seen:
+        inline = _WIKI_INLINE.sub(" ", plain) if in_wiki else plain
+        if (
+            any(p.search(x) for x in marked for k, p in _MD_LINE.items() if not (k == "heading" and (in_wiki or _WIKI_NUMBER.match(x))))
+            or _MD_INLINE.search(inline)
+            or _MD_OPEN.search(inline)
+            or any(_MD_NUMBER.match(x) for x in marked)
+            or (not in_wiki and any(_MD_BULLET.match(x) for x in marked))
+            or (not in_wiki and any(x[:1] in " -*_=" and (_MD_RULE.match(x) or (_MD_SETEXT.match(x) and i and lines[i - 1].strip())) for i, x in enumerate(lines)))
+        ):
+            seen.add("markdown")
     return sorted(seen)
 
 
