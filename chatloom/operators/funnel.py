@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pytext import is_blank, is_english_notebook, prompt_hash, py_strip
+from ..session import checkpoint_dir
 from .decisions import survivors
 from .messages import USER_ROLES, flat, lenient_role, lenient_text, structure_flags
 
@@ -75,6 +76,8 @@ def tagged(raw: DataFrame, detector=None) -> DataFrame:
         F.coalesce(~none & F.forall(checked, lambda m: is_english_notebook(m["language"])), F.lit(False)).alias("_english"),
         F.coalesce(~none & compatible, F.lit(False)).alias("_detected"),
     )
+    checkpoint_dir(raw.sparkSession)
+    light = light.checkpoint()  # flags and hashes only: conversations are read once for all steps
     has_id = ~is_blank(F.col("conversation_id"))
     by_id = _mark(light, light.where(has_id), "conversation_id", "_first_id")
     stays = ~has_id | F.col("_first_id")

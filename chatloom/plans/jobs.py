@@ -8,7 +8,9 @@
 from __future__ import annotations
 
 import argparse
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +33,18 @@ def run_filter(
     return sinks.write_report(dec.decide(dec.metadata(raw, policy), policy), report_dir, settings)
 
 
-def run_annotate(spark: SparkSession, input_dir: str, output_dir: str, log: str | None = None, nth: int = 0, batch: int = annotate.LINE_BATCH, max_rows: int | None = None, **which) -> int:
-    """Annotates the records of a corpus that the log doesn't hold by rules and appends them; gives how many."""
+def run_annotate(
+    spark: SparkSession, input_dir: str, output_dir: str, log: str | None = None, nth: int = 0, batch: int = annotate.LINE_BATCH, max_rows: int | None = None, service: Callable[[DataFrame], DataFrame] | None = None, **which
+) -> int:
+    """Annotates the records of a corpus that the log doesn't hold and appends them; gives how many.
+
+    By rules, or by ``service``, which makes annotated records of records. Only records not yet done are sent to it.
+    """
     raw = corpus.scan(spark, input_dir, max_rows, **which)
     done = corpus.done_keys(spark, log or output_dir)
-    fresh = corpus.pending(annotate.annotated(raw, nth=nth, batch=batch), done)
+    raw = corpus.pending(raw.withColumn("_pk", dec.row_key(F.col("conversation_id"), F.col("source_file"), F.col("source_row_position"))), done, "_pk").drop("_pk")
     checkpoint_dir(spark)
+    fresh = (service or (lambda r: annotate.annotated(r, nth=nth, batch=batch)))(raw)
     fresh = fresh.checkpoint()  # the log that was read is the log that is appended to
     sinks.append_jsonl(fresh, output_dir)
     return fresh.count()
@@ -145,6 +153,15 @@ def main(argv: list[str] | None = None) -> None:
             q.add_argument("--file")
             q.add_argument("--start-file")
             q.add_argument("--end-file")
+            q.add_argument("--api-base", help="a chat-completion service; rules are used without it")
+            q.add_argument("--api-key", help="else the environment's OPENAI_API_KEY")
+            q.add_argument("--model", default="rules")
+            q.add_argument("--code-nl-prompt-path")
+            q.add_argument("--task-lang-prompt-path")
+            q.add_argument("--workers", type=int, default=1)
+            q.add_argument("--retries", type=int, default=2)
+            q.add_argument("--max-tokens", type=int, default=2048)
+            q.add_argument("--timeout", type=int, default=180)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"chatloom {a.job}").getOrCreate()
     kept = f"{a.output_dir}/filtered" if a.job == "pipeline" else a.output_dir
@@ -152,7 +169,12 @@ def main(argv: list[str] | None = None) -> None:
         policy = dec.Policy(a.filter_non_english, dec.english_labels(a.english_labels), a.filter_multiturn, a.single_turn_method, a.drop_empty_first_prompt, a.duplicate_mode)
         run_filter(spark, a.input_dir, kept, a.report_dir or f"{kept}/reports", policy, a.rows_per_output_file, a.max_files, a.max_rows_per_file, a.overwrite)
     if a.job == "annotate":
-        run_annotate(spark, a.input_dir, a.output_dir, None, a.user_message_index, a.line_batch_size, a.max_rows, file=a.file, start=a.start_file, end=a.end_file, max_files=a.max_files)
+        service = None
+        if a.api_base:
+            call = answers.http_chat(a.api_base, a.model, a.api_key or os.environ.get("OPENAI_API_KEY"), a.max_tokens, a.timeout)
+            templates = [Path(t).read_text(encoding="utf-8").strip() if t else "" for t in (a.code_nl_prompt_path, a.task_lang_prompt_path)]
+            service = lambda rows: annotate_by_service(rows.repartition(a.workers), call, *templates, a.line_batch_size, a.retries, nth=a.user_message_index)
+        run_annotate(spark, a.input_dir, a.output_dir, None, a.user_message_index, a.line_batch_size, a.max_rows, service, file=a.file, start=a.start_file, end=a.end_file, max_files=a.max_files)
     elif a.job == "pipeline":
         run_annotate(spark, kept, f"{a.output_dir}/annotated", None, a.user_message_index, a.line_batch_size, a.max_rows)
 

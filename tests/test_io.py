@@ -173,3 +173,45 @@ def test_retries(spark):
 
     row = answers.ask(calls, failing, retries=2, pause=0.0).first()
     assert (row["answer"], row["attempts"], row["error"]) == (None, 3, "no")
+
+
+def test_stub_service_equals_the_rules(spark, folder):
+    from chatloom.plans import stub_service
+
+    server = stub_service.server()
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/v1"
+    call = answers.http_chat(base, "m", timeout=10)
+    texts = ["fix it\nx = 1\n\nopen main.py", "def f():\n} >>>", "hello", "你好", "please help\n$ ls", " "]
+    rows = [(f"c{i}", "a", i, [[("user", t, "en")]]) for i, t in enumerate(texts)]
+    raw = spark.createDataFrame(rows, "conversation_id string, source_file string, source_row_position long, conversation array<array<struct<role:string,content:string,language:string>>>")
+    columns = [c for c in annotate.RECORD if c != "overall_error"]
+    by_service = jobs.annotate_by_service(raw, call, "label each line_number and text", "name the task", retries=0, pause=0.0).select(*columns)
+    by_rules = annotate.annotated(raw).select(*columns)
+    # a text that ends the payload too early also ends that of its task, which is then told from the whole prompt
+    whole = "natural_language_text not like '%>>>%'"
+    assert by_service.where(whole).exceptAll(by_rules).count() == by_rules.where(whole).exceptAll(by_service).count() == 0
+    assert by_service.where(f"not ({whole})").first()["code_nl_status"] == "partial_error"
+    (folder / "t.txt").write_text(" template \n")
+    main = ["annotate", "--input-dir", f"{folder}/raw", "--output-dir", f"{folder}/served", "--api-base", base, "--code-nl-prompt-path", f"{folder}/t.txt"]
+    for _ in range(2):
+        jobs.main(main)
+    assert spark.read.json(f"{folder}/served").count() == 12
+    server.shutdown()
+
+
+def test_stub_service_refuses(spark):
+    import urllib.error
+    import urllib.request
+
+    from chatloom.plans import stub_service
+
+    server = stub_service.server()
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    assert b"rules" in urllib.request.urlopen(f"{base}/v1/models").read()
+    for url, data, status in ((f"{base}/x", None, 404), (f"{base}/x", b"{}", 404), (f"{base}/v1/chat/completions", b"{", 400)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            urllib.request.urlopen(url, data)
+        assert e.value.code == status
+    server.shutdown()
