@@ -22,8 +22,12 @@ WINDOW, OPEN = 4096, 512
 
 
 def projection(size: int, dims: int = DIMS) -> np.ndarray:
-    """A fixed random direction for each token id: the same table on every executor."""
-    return np.random.default_rng(20_240_601).standard_normal((size, dims)).astype(np.float32)
+    """A fixed random direction for each token id, the same on every executor.
+
+    In a byte-pair vocabulary an id grows as its token gets rarer, so directions are scaled by its logarithm.
+    """
+    weight = np.log2(2 + np.arange(size, dtype=np.float32)) / 16
+    return np.random.default_rng(20_240_601).standard_normal((size, dims)).astype(np.float32) * weight[:, None]
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -59,12 +63,14 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def curve_keys(ids: list[list[int]], table: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Hilbert keys of documents: distinct token ids hashed to directions, summed, scaled and cut into cells."""
+    """Hilbert keys of documents: token ids hashed to directions, summed, scaled and cut into cells."""
+    n = np.array([len(row) for row in ids])
     v = np.zeros((len(ids), table.shape[1]), np.float32)
-    for i, row in enumerate(ids):
-        if row:
-            own = np.unique(row)
-            v[i] = table[own].sum(0) / np.sqrt(len(own))
+    some = np.flatnonzero(n)
+    if len(some):
+        every = np.fromiter((i for row in ids for i in row), np.int64, int(n.sum()))
+        starts = np.cumsum(n[some]) - n[some]
+        v[some] = np.add.reduceat(table[every], starts, axis=0) / np.sqrt(n[some])[:, None]
     cells = np.clip((np.tanh(v / 2) + 1) / 2 * (1 << bits), 0, (1 << bits) - 1)
     return hilbert(cells, bits)
 
@@ -109,11 +115,11 @@ def items(docs: DataFrame, capacity: int = CAPACITY, path: str = tokens.VOCABULA
                 a, b, n = sent.value
                 merger, table = tokens.Merger(a, b), projection(n)
             docs_in, texts_in = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start in range(0, len(texts_in), 500):
-                ids = merger.encode(texts_in[start : start + 500])
+            for start, end in tokens.runs(texts_in):
+                ids = merger.encode(texts_in[start:end])
                 keys = curve_keys(ids, table)
                 rows = []
-                for doc, row, key in zip(docs_in[start : start + 500], ids, keys.tolist(), strict=True):
+                for doc, row, key in zip(docs_in[start:end], ids, keys.tolist(), strict=True):
                     full, rest = divmod(len(row), capacity)
                     sizes = [capacity] * full + ([rest] if rest or not full else [])
                     rows += [(doc, piece, size, key) for piece, size in enumerate(sizes)]

@@ -126,6 +126,18 @@ class Merger:
         return out
 
 
+def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Stretches of a batch of about RUN_CHARS characters each: (start, end)."""
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars < RUN_CHARS):
+            chars += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids): the ids of each text by the byte-level BPE vocabulary at ``path``, without special tokens.
 
@@ -144,15 +156,9 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         for batch in batches:
             merger = merger or Merger(*sent.value)
             texts = batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars < RUN_CHARS):
-                    chars += len(texts[end] or "")
-                    end += 1
+            for at, end in runs(texts):
                 ids = merger.encode(texts[at:end])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-                at = end
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return spread(rows).mapInArrow(run, "doc_id long, ids array<int>")
