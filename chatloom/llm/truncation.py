@@ -206,6 +206,19 @@ def limits(docs: DataFrame) -> DataFrame:
     return n.join(total, F.col("source").eqNullSafe(F.col("of")) & (F.col("unit") == F.col("in"))).where(hit).select("source", "unit", "size")
 
 
+def marked(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with ``full``: the text has a length of ``known`` of its source, in characters or in bytes of UTF-8.
+
+    The limits of a source, at most 2 / LIMIT_SHARE, meet its rows as one array; a sequence broken by the cut may have
+    taken up to three bytes with it.
+    """
+    sizes = {u: F.collect_set(F.when(F.col("unit") == u, F.col("size"))) for u in ("chars", "bytes")}
+    by = known.groupBy(F.col("source").alias("_of")).agg(*[n.alias(f"_{u}") for u, n in sizes.items()])
+    ends = F.octet_length(F.regexp_replace("text", "�+$", ""))
+    hit = F.array_contains("_chars", F.length("text")) | F.arrays_overlap("_bytes", F.array(*[ends + d for d in range(4)]))
+    return rows.join(by, F.col("source").eqNullSafe(F.col("_of")), "left").withColumn("full", F.coalesce(hit, F.lit(False))).drop("_of", "_chars", "_bytes")
+
+
 def sample_of(docs: DataFrame, id_column: str, text_column: str, bound: int) -> list[str]:
     """Up to about ``bound`` texts chosen by a hash of their id, the same on every run; all where there are fewer."""
     total = docs.count()
@@ -232,9 +245,7 @@ def judge(docs: DataFrame) -> DataFrame:
     at = {(r["source"], r["unit"], r["size"]) for r in few}
     if len(few) > MOST_LIMITS:  # as many sources as rows, say: the flag then comes from a join
         at = set()
-        by = known.select(F.col("source").alias("of"), F.col("unit").alias("in"), "size").groupBy("of", "size").agg(F.collect_set("in").alias("units"))
-        same = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.length("text"))
-        rows = rows.join(by.where(F.array_contains("units", "chars")), same, "left").select("doc_id", "source", "text", F.col("of").isNotNull().alias("full"))
+        rows = marked(rows, known)
     else:
         rows = spread(rows.withColumn("full", F.lit(False)))
 

@@ -269,6 +269,19 @@ def test_limits_and_shares(spark):
     assert truncation.found(df.limit(0)).count() == 0
 
 
+def test_joined_limits_equal_sent_ones(spark, monkeypatch):
+    # 600 bytes each and some of 599 to 597, of as many lengths in characters as texts; the last line is code
+    def text(n, size):
+        return "é" * (100 + n) + "\nx = a" + "b" * (size - 2 * (100 + n) - 6)
+
+    rows = [(10 * n + k, text(n, 600 - k), s) for n in range(8) for k in (range(4) if n < 2 else (0,)) for s in ("b", None)] + [(90, "é\nx = a", "b"), (91, None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(truncation.judge(df).collect(), key=str)
+    assert sum(r["cut_kind"] == "sentence" for r in want) == 28
+    monkeypatch.setattr(truncation, "MOST_LIMITS", 0, raising=False)
+    assert sorted(truncation.judge(df).collect(), key=str) == want
+
+
 def test_odd_rows_of_all_operators(spark, odd_raw):
     n = sum(len([m for t in (r[0] or []) if t for m in t]) for r in odd_raw.select("conversation").collect())
     enriched = spark.createDataFrame([(1, None, None, "c"), (2, "", "x", "c"), (3, "There is no need to copy the list here.", "DE", "c")], "log_line long, natural_language_text string, detected_language string, text string")
