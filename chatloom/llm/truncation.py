@@ -4,27 +4,29 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import checkpoint_dir, spread
 from . import prose
 
-#: Bound of the sample of documents that the terminator model is fitted on, and of the contexts it keeps per order.
-SAMPLE_DOCS = 8_000
-KEPT_CONTEXTS = 500_000
-#: The sample is counted in runs of about so many characters, which bounds the driver's memory.
+#: Texts are counted in runs of about so many characters, which bounds the memory of a run.
 FIT_CHARS = 2_000_000
 #: Context lengths in characters, longest first; a shorter one is asked where the longer ones are not known.
 ORDERS = (24, 14, 9, 6)
+#: A context is known where it was met at least so often.
+KNOWN = 4
+#: Bits of the table that tells, before anything is shuffled, which contexts no text asks for.
+SLOT_BITS = 24
+#: The rate of all sources counts as so many endings of each source.
+BASELINE_ENDINGS = 20
 #: A length is a field limit of its source where at least so many texts, and so large a share of the source, have it.
 LIMIT_TEXTS, LIMIT_SHARE, LIMIT_LEAST = 5, 0.01, 200
-#: Up to so many limits are sent to the executors; more are joined.
-MOST_LIMITS = 50_000
-
 TERMINATORS = frozenset(".!?。！？:：;；")
 CLOSERS = "\"'`)]}>»”’）」』】*_~|"
 _IDENTIFIER = re.compile(r"\b(?:\w+(?:[_.]\w+)+|[a-z]+[A-Z]\w*|[A-Z][a-z0-9]+[A-Z]\w*)\b")
@@ -78,117 +80,175 @@ def open_at_end(lines: list[str]) -> tuple[bool, bool]:
     return False, bool(stack)
 
 
-def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
-    """A hash of each run of ``order`` codes, by the position of the run's end."""
-    h = np.zeros(len(codes) - order + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(order):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)]
-            h ^= h >> np.uint64(29)
-    return h
+_MORE, _TERMINATOR, _LINE, _END = range(4)
+_KINDS = np.zeros(0x110000, np.uint8)
+_KINDS[[ord(ch) for ch in TERMINATORS]] = _TERMINATOR
+_KINDS[[10, 13]] = _LINE
+_KINDS[0] = _END
+
+
+def _hashes(codes: np.ndarray, slots: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, ends, hashes) of the contexts of ``codes``, shortest order first; the hash of a longer one goes on from that of its end.
+
+    With ``slots`` only contexts whose slot is set; a longer context is asked for only together with its ends.
+    """
+    ends, h, done = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 0
+    for order in reversed(ORDERS):
+        keep = ends >= order - 1
+        ends, h = (ends, h) if keep.all() else (ends[keep], h[keep])
+        with np.errstate(over="ignore"):
+            for k in range(done, order):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + codes[ends - k] + np.uint64(1)
+                h ^= h >> np.uint64(29)
+        done = order
+        if slots is not None:
+            keep = slots[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+            ends, h = ends[keep], h[keep]
+        yield order, ends, h
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def fit(texts: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each order, the contexts met at least twice and how often each was followed by
-    (more text, a terminator, the end of a line, the end of a document)."""
-    kinds_of = np.zeros(0x110000, np.uint8)
-    for ch in TERMINATORS:
-        kinds_of[ord(ch)] = 1
-    kinds_of[[10, 13]] = 2
-    kinds_of[0] = 3
+def _runs(texts: list[str]) -> Iterator[np.ndarray]:
+    """The texts as codes, apart by 0, in runs of about FIT_CHARS."""
     parts: list[str] = []
-    model = {order: (np.zeros(0, np.uint64), np.zeros((0, 4), np.int32)) for order in ORDERS}
     size = 0
     for i, t in enumerate(texts):
         parts.append(plain(t.rstrip()))
         size += len(parts[-1])
         if size >= FIT_CHARS or i == len(texts) - 1:
-            codes = _codes("\0" + "\0".join(parts) + "\0")
-            for order in ORDERS:
-                if len(codes) > order:
-                    model[order] = _merged(model[order], _hashes(codes, order)[:-1], kinds_of[codes[order:]])
+            yield _codes("\0" + "\0".join(parts) + "\0")
             parts, size = [], 0
-    return {order: _kept(keys, n, 2) for order, (keys, n) in model.items()}
 
 
-def _merged(known: tuple[np.ndarray, np.ndarray], h: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts with those of one more run of text: a few arrays of the run's size, not of the sample's."""
-    new, where = np.unique(h, return_inverse=True)
-    n = np.bincount(where * 4 + nxt, minlength=4 * len(new)).reshape(-1, 4).astype(np.int32)
-    keys = np.union1d(known[0], new)
-    total = np.zeros((len(keys), 4), np.int32)
-    total[np.searchsorted(keys, known[0])] += known[1]
-    total[np.searchsorted(keys, new)] += n
-    return _kept(keys, total, 1)
+def _tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes whose last two bits are what followed, as (hash without them, how often each of the four followed)."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    n = np.diff(first, append=len(keys))
+    h, where = np.unique(keys[first] >> np.uint64(2), return_inverse=True)
+    total = np.zeros((len(h), 4), np.int64)
+    total[where, (keys[first] & np.uint64(3)).astype(np.int64)] = n
+    return h << np.uint64(2), total
+
 
+def _followed(h: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    return (h & ~np.uint64(3)) | nxt.astype(np.uint64)
 
-def _kept(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    total = n.sum(1)
-    if len(keys) > KEPT_CONTEXTS:
-        least = max(least, int(np.partition(total, -KEPT_CONTEXTS)[-KEPT_CONTEXTS]), 2)
-    keep = total >= least
-    return keys[keep], n[keep]
+
+def fit(texts: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each order, the contexts met at least KNOWN times and how often each was followed by
+    (more text, a terminator, the end of a line, the end of a document). Nothing is dropped before all is counted."""
+    got: dict[int, list[np.ndarray]] = {order: [] for order in ORDERS}
+    for codes in _runs(texts):
+        nxt = _KINDS[codes[1:]]
+        for order, ends, h in _hashes(codes[:-1]):
+            got[order].append(_followed(h, nxt[ends]))
+    model = {}
+    for order in ORDERS:
+        h, n = _tallied(np.concatenate([np.zeros(0, np.uint64), *got.pop(order)]))
+        keep = n.sum(1) >= KNOWN
+        model[order] = h[keep], n[keep]
+    return model
+
+
+def tail_hashes(tail: str) -> dict[int, int]:
+    """The hash of the context of each order that ends ``tail``, as far as it is long enough."""
+    return {order: int(h[-1]) & ~3 for order, _, h in _hashes(_codes(tail[-ORDERS[0] :])) if len(h)}
 
 
 def seen(model: dict, tail: str) -> np.ndarray | None:
     """Counts of what followed the longest known context that ends ``tail``."""
+    asked = tail_hashes(tail)
     for order in ORDERS:
-        if len(tail) < order:
-            continue
-        h = _hashes(_codes(tail[-order:]), order)[0]
         keys, n = model[order]
-        i = int(np.searchsorted(keys, h))
-        if i < len(keys) and keys[i] == h and n[i].sum() >= 4:
+        i = int(np.searchsorted(keys, np.uint64(asked[order]))) if order in asked else len(keys)
+        if i < len(keys) and int(keys[i]) == asked[order] and n[i].sum() >= KNOWN:
             return n[i]
     return None
 
 
-def cut(text: str | None, at_limit: bool, model: dict) -> str | None:
-    """Why a text counts as cut, or None for a whole one. ``at_limit``: it has the length of a limit of its source.
+def _tail_key(tail: str) -> int:
+    """One key for what a tail asks: its last characters, as many as the longest context has."""
+    last = tail[-ORDERS[0] :]
+    return int.from_bytes(blake2b(last.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    broken: it ends in a broken multibyte sequence or escape. fence, bracket: a code block, bracket or quote is
-    open. ellipsis: it ends with a mark of omission, at a limit or in the middle of a sentence. sentence: it ends without
-    a terminator where text like it goes on or has one. Null and blank texts are whole.
-    """
+
+class Ending(NamedTuple):
+    """How a text ends: ``kind`` of cut where it is plain; ``ask`` where it takes more to tell: a mark of omission
+    ("ellipsis"), code ("code"), prose without a terminator ("open"); what an open or marked text ends with
+    (``tail``); whether an unknown end is no sentence (``loose``); whether prose ends with a terminator (``ended``)."""
+
+    kind: str | None = None
+    ask: str | None = None
+    tail: str | None = None
+    loose: bool = False
+    ended: bool = False
+
+
+def ending(text: str | None) -> Ending:
+    """The end of a text, as far as the text alone tells it. Null and blank texts are whole."""
     if not text or not text.strip():
-        return None
+        return Ending()
     body = text.rstrip("\r\n")
     if _BROKEN.search(body):
-        return "broken"
+        return Ending("broken")
     lines = body.splitlines()
     fence, bracket = open_at_end(lines)
     if fence:
-        return "fence"
+        return Ending("fence")
     last = lines[-1]
     if _FENCE.match(last):
-        return None
+        return Ending()
     if bracket:
-        return "bracket"
+        return Ending("bracket")
     end = last.rstrip()
     if marker := _MARKER.search(end):
-        n = seen(model, "\0" + plain(body.rstrip()[: -len(marker[0])].rstrip()))
-        return "ellipsis" if at_limit or (n is not None and n[0] > n[1:].sum()) else None
+        return Ending(ask="ellipsis", tail="\0" + plain(body.rstrip()[: -len(marker[0])].rstrip()))
     core = end.rstrip(CLOSERS)
     if core and core[-1] in TERMINATORS:
-        return None
+        return Ending(ended=not _CODE.search(last))
     if _CLOSED.search(end):
-        return None
+        return Ending()
     if _URL.search(end) or _CODE.search(last) or prose.looks_like_code(last):
-        return "sentence" if at_limit and not _URL.search(end) and not end.endswith(tuple("}])>;`")) else None
-    n = seen(model, "\0" + plain(body.rstrip()))
+        return Ending() if _URL.search(end) or end.endswith(tuple("}])>;`")) else Ending(ask="code")
+    return Ending(ask="open", tail="\0" + plain(body.rstrip()), loose=bool(_LIST.match(last)) or len(end.split()) < 3)
+
+
+def verdict(end: Ending, at_limit: bool, n, baseline: float = 1.0, free_source: bool = False) -> str | None:
+    """Why a text counts as cut, or None for a whole one. ``n``: what follows its last characters in all texts, None
+    where they are not known. ``baseline``: the odds of its source's prose to lack a terminator, over those of all sources;
+    ``free_source``: most of its source's prose lacks one.
+    """
+    if not end.ask:
+        return end.kind
+    if end.ask == "code":
+        return "sentence" if at_limit else None
+    if end.ask == "ellipsis":
+        return "ellipsis" if at_limit or (n is not None and n[0] > sum(n[1:])) else None
     if n is None:
-        return None if _LIST.match(last) or len(end.split()) < 3 and not at_limit else "sentence"
+        return None if not at_limit and (end.loose or free_source) else "sentence"
     goes_on, ended, line, done = (int(x) for x in n)
     if goes_on > ended + line + done:
         return "sentence"
     free = (line + done) / max(1, ended + line + done)
+    free = free * baseline / max(1e-12, free * baseline + 1 - free)
     return "sentence" if free < 0.03 or (at_limit and free < 0.5) else None
 
 
+def cut(text: str | None, at_limit: bool, model: dict) -> str | None:
+    """Why a text counts as cut, or None for a whole one. ``at_limit``: it has the length of a limit of its source.
+
+    broken: it ends in a broken multibyte sequence or escape. fence, bracket: a code block, bracket or quote is
+    open. ellipsis: it ends with a mark of omission, at a limit or in the middle of a sentence. sentence: it ends without
+    a terminator where text like it goes on or has one. Null and blank texts are whole.
+    """
+    end = ending(text)
+    return verdict(end, at_limit, seen(model, end.tail) if end.tail else None)
+
+
 def limits(docs: DataFrame) -> DataFrame:
     """Field limits by pile-ups of lengths: (source, unit, size), counted over all documents.
 
@@ -206,60 +266,108 @@ def limits(docs: DataFrame) -> DataFrame:
     return n.join(total, F.col("source").eqNullSafe(F.col("of")) & (F.col("unit") == F.col("in"))).where(hit).select("source", "unit", "size")
 
 
-def marked(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``rows`` with ``full``: the text has a length of ``known`` of its source, in characters or in bytes of UTF-8.
+_STATE = "doc_id long, source string, chars long, bytes long, kind string, ask string, loose boolean, ended boolean, tail long, " + ", ".join(f"h{o} long" for o in ORDERS)
+
+
+def _signed(h: int | None) -> int | None:
+    return None if h is None else (h ^ 1 << 63) - (1 << 63)
+
+
+def _endings(rows: DataFrame) -> DataFrame:
+    """How each row of (doc_id, source, text) ends, its sizes, and the hashes of its last characters; no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(2).to_pylist():
+                e, t = ending(text), text or ""
+                asked = tail_hashes(e.tail) if e.tail else {}
+                tail = _tail_key(e.tail) if e.tail else None
+                out.append((len(t), len(t.rstrip("�").encode("utf-8", "replace")), e.kind, e.ask, e.loose, e.ended, tail, *[_signed(asked.get(o)) for o in ORDERS]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * (1 + len(ORDERS))]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[c.split()[0] for c in _STATE.split(", ")])
+
+    return rows.mapInArrow(run, _STATE)
+
+
+def _contexts(rows: DataFrame, tails: DataFrame) -> DataFrame:
+    """(tail, n): what followed the longest known context of each tail, counted over the texts of all rows.
+
+    A table of 2 ** SLOT_BITS bits tells which contexts no tail has; what passes it is summed per run of text, then by
+    Spark, and met by the contexts asked for, so its size has no influence on the counts.
+    """
+    asked = tails.select("tail", F.explode(F.array(*[F.struct(F.lit(o).alias("order"), F.col(f"h{o}").alias("h")) for o in ORDERS])).alias("x")).select("tail", "x.*").where("h IS NOT NULL")
+    slots = np.zeros(1 << SLOT_BITS, bool)
+    slots[np.asarray(asked.select(F.shiftrightunsigned("h", 64 - SLOT_BITS).cast("int").alias("slot")).distinct().toArrow()["slot"])] = True
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(slots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            for codes in _runs([t for t in batch.column(0).to_pylist() if t]):
+                nxt = _KINDS[codes[1:]]
+                for order, ends, h in _hashes(codes[:-1], wanted):
+                    keys, n = _tallied(_followed(h, nxt[ends]))
+                    columns = [pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)), *[pa.array(n[:, k]) for k in range(4)]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["o", "k", "n0", "n1", "n2", "n3"])
+
+    counts = rows.select("text").mapInArrow(run, "o int, k long, n0 long, n1 long, n2 long, n3 long").groupBy("o", "k").agg(F.array(*[F.sum(f"n{i}") for i in range(4)]).alias("n"))
+    known = asked.join(counts.where(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y) >= KNOWN), (F.col("order") == F.col("o")) & (F.col("h") == F.col("k")))
+    return known.groupBy("tail").agg(F.max_by("n", "order").alias("n"))
+
+
+def by_limits(light: DataFrame, known: DataFrame) -> DataFrame:
+    """``light`` (source, chars, bytes) with ``full``: the text has a length of ``known`` of its source.
 
     The limits of a source, at most 2 / LIMIT_SHARE, meet its rows as one array; a sequence broken by the cut may have
     taken up to three bytes with it.
     """
-    sizes = {u: F.collect_set(F.when(F.col("unit") == u, F.col("size"))) for u in ("chars", "bytes")}
+    sizes = {u: F.collect_set(F.when(F.col("unit") == u, F.col("size").cast("long"))) for u in ("chars", "bytes")}
     by = known.groupBy(F.col("source").alias("_of")).agg(*[n.alias(f"_{u}") for u, n in sizes.items()])
-    ends = F.octet_length(F.regexp_replace("text", "�+$", ""))
-    hit = F.array_contains("_chars", F.length("text")) | F.arrays_overlap("_bytes", F.array(*[ends + d for d in range(4)]))
-    return rows.join(by, F.col("source").eqNullSafe(F.col("_of")), "left").withColumn("full", F.coalesce(hit, F.lit(False))).drop("_of", "_chars", "_bytes")
+    hit = F.array_contains("_chars", F.col("chars")) | F.arrays_overlap("_bytes", F.array(*[F.col("bytes") + d for d in range(4)]))
+    return light.join(by, F.col("source").eqNullSafe(F.col("_of")), "left").withColumn("full", F.coalesce(hit, F.lit(False))).drop("_of", "_chars", "_bytes")
 
 
-def sample_of(docs: DataFrame, id_column: str, text_column: str, bound: int) -> list[str]:
-    """Up to about ``bound`` texts chosen by a hash of their id, the same on every run; all where there are fewer."""
-    total = docs.count()
-    if not total:
-        return []
-    part = int(min(1.0, bound / total) * (1 << 30))
-    rows = docs.where((F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) < part) & F.col(text_column).isNotNull())
-    return [r[0] for r in rows.select(text_column).limit(2 * bound).collect()]
+def baselines(told: DataFrame) -> DataFrame:
+    """(source, baseline, free_source): how prose of each source lacks a terminator, counted over all documents.
+
+    Endings at a field limit and those where text goes on are no choice of the source and don't count. A source's
+    rate is drawn to that of all by BASELINE_ENDINGS; the baseline is its odds over those of all sources.
+    """
+    goes_on = F.col("n")[0] > F.col("n")[1] + F.col("n")[2] + F.col("n")[3]
+    lacks = (F.col("ask") == "open") & ~F.col("full") & ~F.coalesce(goes_on, F.lit(False))
+    by = told.groupBy("source").agg(F.count(F.when(lacks, 1)).alias("lacking"), F.count(F.when(F.col("ended") & ~F.col("full"), 1)).alias("ending"))
+    every = by.agg(F.coalesce(F.sum("lacking"), F.lit(0)).alias("lacking"), F.coalesce(F.sum("ending"), F.lit(0)).alias("ending")).first()
+    rate = (every["lacking"] + 0.5) / (every["lacking"] + every["ending"] + 1)
+    own = (F.col("lacking") + BASELINE_ENDINGS * rate) / (F.col("lacking") + F.col("ending") + BASELINE_ENDINGS)
+    return by.select("source", (own / (1 - own) / (rate / (1 - rate))).alias("baseline"), (own > 0.5).alias("free_source"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, source, cut_kind) for each row of ``docs`` (doc_id, source, text): cut_kind null for whole texts.
 
-    The terminator model is fitted on a sample of SAMPLE_DOCS documents and sent to the executors, bounded by
-    KEPT_CONTEXTS; the limits of each source are counted over all documents. Each text is then read once,
-    whole, where it lies. Null sources have limits of their own; repeated rows are judged alike; empty
-    tables give no rows; other columns are not read.
+    A first pass over the texts tells how each ends, a second counts what follows the last characters of the open
+    ones in all documents; limits and baselines of each source are counted over all documents as well. Only
+    endings, never texts, are checkpointed, shuffled and joined. Null sources have limits and a baseline of
+    their own; repeated rows are judged alike; empty tables give no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    model = spark.sparkContext.broadcast(fit(sample_of(rows, "doc_id", "text", SAMPLE_DOCS)))
-    known = limits(rows)
-    few = known.limit(MOST_LIMITS + 1).collect()
-    at = {(r["source"], r["unit"], r["size"]) for r in few}
-    if len(few) > MOST_LIMITS:  # as many sources as rows, say: the flag then comes from a join
-        at = set()
-        rows = marked(rows, known)
-    else:
-        rows = spread(rows.withColumn("full", F.lit(False)))
+    checkpoint_dir(docs.sparkSession)
+    light = _endings(spread(rows)).checkpoint()
+    tails = light.where("tail IS NOT NULL").groupBy("tail").agg(*[F.first(f"h{o}").alias(f"h{o}") for o in ORDERS])
+    known = _contexts(spread(rows), tails)
+    told = by_limits(light, limits(rows)).join(known, "tail", "left").select("doc_id", "source", "kind", "ask", "loose", "ended", "full", "n").checkpoint()
+    by = baselines(told).withColumnRenamed("source", "_of")
+    told = told.join(by, F.col("source").eqNullSafe(F.col("_of")), "left").select("doc_id", "source", "kind", "ask", "loose", "full", "n", "baseline", "free_source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = []
-            for source, text, flag in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                t = text or ""
-                # a sequence broken by the cut may have taken up to three bytes with it
-                full = flag or (source, "chars", len(t)) in at or any((source, "bytes", len(t.rstrip("�").encode("utf-8", "replace")) + d) in at for d in range(4))
-                kinds.append(cut(text, full, model.value))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string())], names=["doc_id", "source", "cut_kind"])
-
-    return rows.mapInArrow(run, "doc_id long, source string, cut_kind string")
+            doc_id, source, *rest = batch.columns
+            kinds = [verdict(Ending(kind, ask, None, loose), full, n, baseline, free) for kind, ask, loose, full, n, baseline, free in zip(*[c.to_pylist() for c in rest], strict=True)]
+            yield pa.RecordBatch.from_arrays([doc_id, source, pa.array(kinds, pa.string())], names=["doc_id", "source", "cut_kind"])
+
+    return told.mapInArrow(run, "doc_id long, source string, cut_kind string")
 
 
 def found(docs: DataFrame) -> DataFrame:

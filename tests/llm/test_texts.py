@@ -282,6 +282,17 @@ def test_joined_limits_equal_sent_ones(spark, monkeypatch):
     assert sorted(truncation.judge(df).collect(), key=str) == want
 
 
+def test_endings_are_counted_over_all_documents_and_by_source(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "SAMPLE_DOCS", 10, raising=False)
+    words = [f"{a}{b}" for a in ("mor", "tal", "wen", "ruk", "pim", "sol") for b in ("da", "lop", "vix", "gorn", "hest", "quam")]
+    own = [f"{w[::-1]} {w}" for w in words]
+    rows = [(i, f"Take {t}.", "strict") for i, t in enumerate(own)] + [(100 + i, f"Take {t}", "free") for i, t in enumerate(own)]
+    rows += [(200, "Take wenzu kalo brint", "strict"), (201, "Take wenzu kalo brint", "free")] + [(300 + i, f"Take {own[i]}.\n\nGreetings to everybody", "strict") for i in range(6)]
+    kinds = {r["doc_id"]: r["cut_kind"] for r in truncation.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (kinds[200], kinds[201]) == ("sentence", None)
+    assert {kinds[300 + i] for i in range(6)} == {None}
+
+
 def test_odd_rows_of_all_operators(spark, odd_raw):
     n = sum(len([m for t in (r[0] or []) if t for m in t]) for r in odd_raw.select("conversation").collect())
     enriched = spark.createDataFrame([(1, None, None, "c"), (2, "", "x", "c"), (3, "There is no need to copy the list here.", "DE", "c")], "log_line long, natural_language_text string, detected_language string, text string")
