@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import exp
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -14,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.messages import messages
-from ..session import spread
+from ..session import checkpoint_dir, spread
 from .credentials import sample
 
 #: Bound of the sample of messages that labelers are weighed and the classifiers trained on.
 SAMPLE_MESSAGES = 20_000
+#: Up to so many names, of up to so many characters in all, are sent to the executors; more meet the words of each message by a join.
+MOST_NAMES, MOST_NAME_CHARS = 500_000, 8_000_000
 TYPES = ("email", "phone", "id_number", "address", "name")
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['’-][A-ZÀ-Ý]?[a-zß-öø-ÿ]+)*"
@@ -70,6 +74,11 @@ _SELF = re.compile(
     r"(?:[Mm]y name is|I am called|[Mm]e llamo|[Mm]i nombre es|[Jj]e m'appelle|[Mm]on nom est|[Mm]i chiamo|[Ii]ch heiße|[Mm]ein Name ist|[Mm]eu nome é|[Cc]hamo-me|Author:|Committer:|Signed-off-by:|"
     r"Co-authored-by:|Reviewed-by:|[Rr]egards,|Sincerely,|Cheers,|contact there is|signed as|reported by|opened by|Меня зовут)\s+$"
 )
+#: One of these is in every text with an introduction.
+_SELF_SIGNS = (
+    "y name is", "I am called", "e llamo", "i nombre es", "e m'appelle", "on nom est", "i chiamo", "ch heiße", "ein Name ist", "eu nome é", "hamo-me", "Author:", "Committer:", "Signed-off-by:",
+    "Co-authored-by:", "Reviewed-by:", "egards,", "Sincerely,", "Cheers,", "contact there is", "signed as", "reported by", "opened by", "Меня зовут",
+)
 _BEFORE_NAME = re.compile(
     r"(?:\b(?:hi|hello|dear|hey|hola|bonjour|salut|ciao|hallo|liebe[r]?|ol[aá]|ask|thanks|cc|to|user|from|by|mr\.?|mrs\.?|ms\.?|dr\.?|deliver to:?|for|and|with|frag|fragt|demande(?:z)? à|chiedi a|pregunta a|fale com|пиши)[:,]?\s+"
     r"|[;\"]|\d;)$",
@@ -121,24 +130,69 @@ class Span(NamedTuple):
 
 
 class Gazetteer(NamedTuple):
-    """First and last names that introduced themselves in the sample."""
+    """First and last names that introduced themselves."""
 
     first: frozenset[str]
     last: frozenset[str]
 
 
+_FULL_NAME = re.compile(rf"{_CAP}[ ]{_CAP}")
+
+
+def introduced(text: str) -> Iterator[tuple[str, str]]:
+    """First and last name of each introduction in a text: contexts that only a person's name fills."""
+    for m in _FULL_NAME.finditer(text):
+        if _SELF.search(text[max(0, m.start() - 24) : m.start()]):
+            a, _, b = m[0].partition(" ")
+            yield a, b
+
+
 def learn_names(texts: list[str]) -> Gazetteer:
-    """Names from contexts that only a person's name fills, kept where met at least twice."""
-    first: Counter[str] = Counter()
-    last: Counter[str] = Counter()
-    pair = re.compile(rf"{_CAP}[ ]{_CAP}")
-    for t in texts:
-        for m in pair.finditer(t):
-            if _SELF.search(t[max(0, m.start() - 24) : m.start()]):
-                a, _, b = m[0].partition(" ")
-                first[a] += 1
-                last[b] += 1
-    return Gazetteer(frozenset(w for w, n in first.items() if n >= 2), frozenset(w for w, n in last.items() if n >= 1))
+    """First names met at least twice and last names met in the introductions of texts."""
+    pairs = [p for t in texts for p in introduced(t)]
+    first = Counter(a for a, _ in pairs)
+    return Gazetteer(frozenset(w for w, n in first.items() if n >= 2), frozenset(b for _, b in pairs))
+
+
+def all_names(rows: DataFrame) -> DataFrame:
+    """(word, first, last): names that introduce themselves in all messages, as ``learn_names`` keeps them.
+
+    Introductions are counted per batch before anything is shuffled; texts without a sign of one are not read in Python.
+    """
+    told = rows.where(reduce(or_, [F.contains("content", F.lit(x)) for x in _SELF_SIGNS])).select("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = Counter(p for t in b.column(0).to_pylist() for p in introduced(t))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in n], pa.string()), pa.array([p[1] for p in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["a", "b", "n"])
+
+    pairs = told.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    words = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("n").alias("f"), F.lit(0).cast("long").alias("l")), F.struct(F.col("b").alias("word"), F.lit(0).cast("long").alias("f"), F.col("n").alias("l")))).alias("x")).select("x.*")
+    names = words.groupBy("word").agg(F.sum("f").alias("f"), F.sum("l").alias("l")).select("word", (F.col("f") >= 2).alias("first"), (F.col("l") >= 1).alias("last"))
+    return names.where("first OR last")
+
+
+def _gazetteer(rows) -> Gazetteer:
+    return Gazetteer(frozenset(r["word"] for r in rows if r["first"]), frozenset(r["word"] for r in rows if r["last"]))
+
+
+def _words(text: str | None) -> list[str]:
+    """The words of a text that may be looked up as names."""
+    return sorted({w.capitalize() for m in _NAME.finditer(text or "") for w in m[0].split()})
+
+
+def with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` (row_id, msg_pos, content) with the first and last names among their words, by a join of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [_words(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(pa.string()))], names=["row_id", "msg_pos", "content", "words"])
+
+    got = rows.mapInArrow(run, "row_id long, msg_pos int, content string, words array<string>").groupBy("row_id", "msg_pos", "content").agg(F.count("*").alias("copies"), F.first("words").alias("words"))
+    met = got.select("row_id", "msg_pos", "content", "copies", F.explode_outer("words").alias("word")).join(names, "word", "left")
+    kept = met.groupBy("row_id", "msg_pos", "content", "copies").agg(F.collect_set(F.when(F.col("first"), F.col("word"))).alias("first"), F.collect_set(F.when(F.col("last"), F.col("word"))).alias("last"))
+    return kept.select("row_id", "msg_pos", "content", "first", "last", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
 def _vote(*pairs: tuple[bool, int]) -> tuple[int, ...]:
@@ -296,9 +350,9 @@ def em(votes: np.ndarray, rounds: int = 30) -> np.ndarray:
     return p
 
 
-def train(texts: list[str]) -> Model:
-    """Gazetteer, labeler reliabilities and one logistic span classifier per type, from unlabelled texts."""
-    names = learn_names(texts)
+def train(texts: list[str], names: Gazetteer | None = None) -> Model:
+    """Labeler reliabilities and one logistic span classifier per type, from unlabelled texts; the gazetteer as given, else from them."""
+    names = names or learn_names(texts)
     by: dict[str, list[Span]] = {k: [] for k in TYPES}
     for t in texts:
         for s in spans(t, names):
@@ -366,17 +420,32 @@ def replace(text: str | None, model: Model) -> str | None:
 def scan(raw: DataFrame) -> DataFrame:
     """(row_id, msg_pos, items array<struct<start_pos,end_pos,pii_type>>, replaced) of every message.
 
-    Trained on a bounded sample, then one pass over each whole message where it lies, without a shuffle.
+    Names are learnt from the introductions of all messages; weights are trained on a bounded sample; then one pass
+    goes over each whole message where it lies, without a shuffle unless there are more than MOST_NAMES names.
     Null contents have no items and stay null; an empty table gives no rows; other columns are not read.
     """
-    model = raw.sparkSession.sparkContext.broadcast(train(sample(raw, SAMPLE_MESSAGES)))
+    spark = raw.sparkSession
     rows = messages(raw, "row_id").select(F.col("row_id").cast("long").alias("row_id"), "msg_pos", "content")
+    checkpoint_dir(spark)
+    names = all_names(rows).checkpoint()
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("chars")).first()
+    joined = size["n"] > MOST_NAMES or size["chars"] > MOST_NAME_CHARS
+    texts = sample(raw, SAMPLE_MESSAGES)
+    if joined:
+        asked = spark.createDataFrame([(w,) for w in {w for t in texts for w in _words(t)}], "word string")
+        known, rows = _gazetteer(names.join(asked, "word", "left_semi").collect()), with_names(rows, names)
+    else:
+        known = _gazetteer(names.collect())
+        empty = F.array().cast("array<string>")
+        rows = spread(rows).select("*", empty.alias("first"), empty.alias("last"))
+    model = spark.sparkContext.broadcast(train(texts, known))
     item = pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("pii_type", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            hits = [[{"start_pos": x, "end_pos": y, "pii_type": k} for x, y, k in found(t, model.value)] for t in texts]
+            models = [model.value._replace(names=Gazetteer(frozenset(f), frozenset(n))) for f, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)] if joined else [model.value] * len(texts)
+            hits = [[{"start_pos": x, "end_pos": y, "pii_type": k} for x, y, k in found(t, m)] for t, m in zip(texts, models, strict=True)]
             clean = []
             for t, h in zip(texts, hits, strict=True):
                 for x in reversed(h):
@@ -384,7 +453,7 @@ def scan(raw: DataFrame) -> DataFrame:
                 clean.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(item)), pa.array(clean, pa.string())], names=["row_id", "msg_pos", "items", "replaced"])
 
-    return spread(rows).mapInArrow(run, "row_id long, msg_pos int, items array<struct<start_pos:int,end_pos:int,pii_type:string>>, replaced string")
+    return rows.mapInArrow(run, "row_id long, msg_pos int, items array<struct<start_pos:int,end_pos:int,pii_type:string>>, replaced string")
 
 
 def found_rows(raw: DataFrame) -> DataFrame:

@@ -233,6 +233,16 @@ def test_placeholders(pii_model):
     assert pii.replace(None, pii_model) is None
 
 
+def test_names_are_learnt_from_all_messages(raw_of, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_MESSAGES", 3)
+    said = ["My name is Annika Wolf.", "Regards,\nAnnika Stern"]
+    raw = raw_of([[("user", t, "en"), ("assistant", "It works now.", "en")] for t in [*said, *["The loop stops here."] * 60, "Please ask Annika about it.", "Please ask Wolf about it."]])
+    got = pii.scan(raw).orderBy("row_id", "msg_pos").collect()
+    assert got[124]["replaced"] == "Please ask [NAME] about it." and got[126]["replaced"] == "Please ask Wolf about it."
+    monkeypatch.setattr(pii, "MOST_NAMES", 0, raising=False)
+    assert pii.scan(raw).orderBy("row_id", "msg_pos").collect() == got
+
+
 def test_em_prefers_agreeing_labelers():
     import numpy as np
 
