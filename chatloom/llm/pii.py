@@ -225,8 +225,8 @@ def spans(text: str, names: Gazetteer) -> list[Span]:
         )))
         if not any(v < 0 for v in out[-1].votes):
             taken.append((m.start(), end))
-    for form, pattern in _ADDRESSES.items() if digits_in else ():
-        if not any(x in text for x in _ADDRESS_SIGNS[form]):
+    for form, pattern in _ADDRESSES.items():
+        if not (digits_in or form == "cjk") or not any(x in text for x in _ADDRESS_SIGNS[form]):
             continue
         for m in pattern.finditer(text):
             a, b = m.span()

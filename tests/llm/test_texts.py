@@ -233,6 +233,11 @@ def test_placeholders(pii_model):
     assert pii.replace(None, pii_model) is None
 
 
+def test_addresses_without_digits(pii_model):
+    text = "请寄到北京市朝阳区建国路八号。"
+    assert [s.kind for s in pii.spans(text, pii_model.names)] == ["address"]
+
+
 def test_names_are_learnt_from_all_messages(raw_of, monkeypatch):
     monkeypatch.setattr(pii, "SAMPLE_MESSAGES", 3)
     said = ["My name is Annika Wolf.", "Regards,\nAnnika Stern"]
