@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import argparse
 import os
+import time
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pytext import is_blank
@@ -55,8 +57,8 @@ def annotate_by_service(
 ) -> DataFrame:
     """The 19 columns of the annotated record with labels, task and language from a chat-completion service.
 
-    One call per batch of lines, one per record for task and language. Answers are checkpointed, so that no later
-    action asks again. A batch without a valid answer falls back to EMPTY and NATURAL_LANGUAGE and is an error of
+    One call per batch of lines, one per record for task and language. Answers that are missing or not valid are
+    asked for again, up to ``retries`` times. Answers are checkpointed, so that no later action asks again. A batch without a valid answer falls back to EMPTY and NATURAL_LANGUAGE and is an error of
     its record; blank prompts have no line calls.
     """
     spark = records.sparkSession
@@ -66,7 +68,7 @@ def annotate_by_service(
     lines = annotate.lines(asked.where(~is_blank(F.col("user_prompt_original"))), batch).drop("label")
     batches = lines.groupBy(*place, "batch_no").agg(F.array_sort(F.collect_list(F.struct("line_number", F.col("line_text").alias("text")))).alias("lines"))
     batches = batches.select("*", F.to_json(F.struct(*place, "batch_no")).alias("request_id"), answers.prompt_with_payload(line_template, F.to_json(F.struct("lines"))).alias("prompt"))
-    got = _checked(answers.ask(batches, _retrying(call, retries, pause), retries=0), batches.select("request_id", *place, "batch_no", "lines"), lambda b: answers.line_answer_error(F.col("answer"), F.transform("lines", lambda x: x["line_number"])))
+    got = _answered(batches, call, lambda: answers.line_answer_error(F.col("answer"), F.transform("lines", lambda x: x["line_number"])), retries, pause).drop("prompt")
     got = got.withColumn("given", F.when(F.col("problem").isNull(), answers.line_answer_labels(F.col("answer"))))
     relabelled = F.transform(
         "lines",
@@ -90,7 +92,7 @@ def annotate_by_service(
     ).drop("_l", "_e")
     payload = F.to_json(F.struct("natural_language_text", F.struct(F.col("contains_code").alias("original_prompt_contained_code"), "code_line_count").alias("metadata")))
     tasks = rows.select(F.to_json(F.struct(*place)).alias("request_id"), answers.prompt_with_payload(task_template, payload).alias("prompt"))
-    told = _checked(answers.ask(tasks, _retrying(call, retries, pause), retries=0), tasks.select("request_id"), lambda b: answers.task_answer(F.col("answer"))["error"])
+    told = _answered(tasks, call, lambda: answers.task_answer(F.col("answer"))["error"], retries, pause)
     told = told.select(F.col("request_id").alias("_r"), answers.task_answer(F.col("answer")).alias("t"), "problem")
     out = rows.join(told, F.to_json(F.struct(*place)) == F.col("_r"), "left")
     out = out.select(*rows.columns, "t.*", "problem").withColumns({"task_lang_status": F.when(F.col("problem").isNull(), "ok").otherwise("error")})
@@ -99,31 +101,25 @@ def annotate_by_service(
     return out.withColumns({"overall_status": status, "overall_error": errors}).select(*annotate.RECORD)
 
 
-def _retrying(call: Callable[[str], str], retries: int, pause: float) -> Callable[[str], str]:
-    """A call that is tried again where it raises or its answer holds no object."""
+def _answered(requests: DataFrame, call: Callable[[str], str], problem: Callable[[], Column], retries: int, pause: float) -> DataFrame:
+    """``requests`` with their answer, cut off from the calls, and what is wrong with it (problem).
 
-    def run(prompt: str) -> str:
-        import time
-
-        for attempt in range(retries + 1):
-            try:
-                text = call(prompt)
-                if "{" in text or attempt == retries:
-                    return text
-            except Exception:  # noqa: BLE001
-                if attempt == retries:
-                    raise
-            time.sleep(pause)
-        raise AssertionError
-
-    return run
-
-
-def _checked(asked: DataFrame, requests: DataFrame, problem: Callable) -> DataFrame:
-    """Requests with their answers, cut off from the calls, and what is wrong with each."""
-    got = asked.checkpoint()
-    both = requests.join(got.withColumnRenamed("request_id", "_id"), F.col("request_id") == F.col("_id")).drop("_id")
-    return both.withColumn("problem", F.coalesce("error", problem(both)))
+    A request is asked in rounds until its answer is valid by ``problem`` or ``retries`` + 1 calls were made; of the
+    invalid answers the last one counts.
+    """
+    requests = requests.checkpoint()
+    left, done = requests, []
+    for attempt in range(retries + 1):
+        got = answers.ask(left, call, retries=0).checkpoint().withColumnRenamed("request_id", "_id").drop("attempts")
+        both = left.join(got, F.col("request_id") == F.col("_id")).drop("_id")
+        both = both.withColumn("problem", F.coalesce("error", problem())).checkpoint()
+        again = both.where(F.col("problem").isNotNull()).select(*requests.columns)
+        if attempt == retries or again.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, both])
+        done.append(both.where(F.col("problem").isNull()))
+        left = again
+        time.sleep(pause)
+    raise ValueError("retries must not be negative")
 
 
 def main(argv: list[str] | None = None) -> None:

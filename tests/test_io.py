@@ -165,6 +165,23 @@ def test_annotation_by_service(spark, raw_of):
     assert rows[3]["task_lang_status"] == "error" and "Empty content" in rows[3]["overall_error"]
 
 
+def test_invalid_answers_are_asked_again(spark, raw_of, tmp_path):
+    good = {"lines": [{"line_number": n, "label": x} for n, x in ((1, "NATURAL_LANGUAGE"), (2, "CODE"))]}
+    bad = ['{"lines": [{"line_number": 1', json.dumps({"lines": good["lines"][:1]}), json.dumps({"lines": [{"line_number": 9, "label": "X"}]})]
+    replies = {"lines": [*bad, json.dumps(good)], "task": ["{}", json.dumps(TASK | {"task_category": "X"}), json.dumps(TASK)]}
+
+    def call(prompt):
+        kind = "lines" if prompt.startswith("label") else "task"
+        n = len(list(tmp_path.glob(f"{kind}*")))
+        (tmp_path / f"{kind}{n}").touch()
+        return replies[kind][min(n, len(replies[kind]) - 1)]
+
+    raw = raw_of([[("user", "fix\nx = 1", "en")]])
+    row = jobs.annotate_by_service(raw, call, "label the lines", "name the task", retries=3, pause=0.0).first()
+    assert (row["overall_status"], row["code_text"], row["task_category"]) == ("ok", "x = 1", "BUG_FIXING")
+    assert len(list(tmp_path.glob("lines*"))) == 4 and len(list(tmp_path.glob("task*"))) == 3
+
+
 def test_retries(spark):
     calls = spark.createDataFrame([(1, "a")], "request_id int, prompt string")
 
