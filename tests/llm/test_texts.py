@@ -204,6 +204,14 @@ def test_suffix_automaton_against_brute_force():
 NAMED = ["My name is Nora Ashdown and I maintain this.", "Author: Felix Ashdown <felix@mail.example>", "My name is Felix Marlowe and I maintain this.", "Author: Nora Marlowe <nora@mail.example>"] * 10
 
 
+def test_language_of_an_answer_is_that_of_its_prose():
+    words = dict.fromkeys("the and is to of".split(), "en") | dict.fromkeys("das ist die und der nicht".split(), "de")
+    code = "\n".join(["# the end of the list and the start of it is to be read"] * 5)
+    answer = f"Das ist die Liste und der Rest ist nicht neu.\n\n```py\n{code}\nx = 1\n```"
+    assert pairs.other_language("What is the way to sort the list and keep the order of it?", answer, pairs.Model(words, {}))
+    assert not pairs.other_language("Was ist die Liste und der Rest, das ist nicht neu?", answer, pairs.Model(words, {}))
+
+
 @pytest.fixture(scope="module")
 def pii_model():
     other = ["Call me on +1-312-555-0190 after lunch.", "The session id was 9003941216 when it stopped.", "The test row still has SSN 914-18-7228 of a real user.", "I live at 46 Old Quarry Road, Apt 23, Port Dallow, so look there.", "The remote is git@git.example:a/b.git now."] * 20
