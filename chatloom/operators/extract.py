@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MESSAGES = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("role", "content", "language")]))
-MOST_ITEMS, MOST_LEVELS = 20, 6
 
 
 def _walk(value) -> Iterator[dict]:
@@ -63,8 +62,7 @@ def stable_hash(values: pd.Series) -> pd.Series:
 def json_paths(df: DataFrame, column: str) -> DataFrame:
     """(key_path, n_values): dotted paths of the objects in a column of JSON text and how often each occurs.
 
-    At most MOST_ITEMS elements of a list and MOST_LEVELS levels are entered, as the census defines; paths are
-    counted per batch before anything is shuffled. Unreadable text and null have no paths.
+    All elements of lists and all levels are entered; paths are counted per batch before anything is shuffled. Unreadable text and null have no paths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,18 +70,18 @@ def json_paths(df: DataFrame, column: str) -> DataFrame:
             n: dict[str, int] = {}
             for text in b.column(0).to_pylist():
                 try:
-                    stack = [(json.loads(text), "", 0)] if text is not None else []
+                    stack = [(json.loads(text), "")] if text is not None else []
                 except ValueError:
                     stack = []
                 while stack:
-                    x, path, level = stack.pop()
-                    if isinstance(x, dict) and level < MOST_LEVELS:
+                    x, path = stack.pop()
+                    if isinstance(x, dict):
                         for k, v in x.items():
                             p = f"{path}.{k}" if path else str(k)
                             n[p] = n.get(p, 0) + 1
-                            stack.append((v, p, level + 1))
-                    elif isinstance(x, list) and level < MOST_LEVELS:
-                        stack += [(v, f"{path}[]", level + 1) for v in x[:MOST_ITEMS]]
+                            stack.append((v, p))
+                    elif isinstance(x, list):
+                        stack += [(v, f"{path}[]") for v in x]
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["key_path", "n"])
 
     paths = df.select(F.col(column).cast("string").alias("_json")).mapInArrow(run, "key_path string, n long")

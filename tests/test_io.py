@@ -182,6 +182,14 @@ def test_invalid_answers_are_asked_again(spark, raw_of, tmp_path):
     assert len(list(tmp_path.glob("lines*"))) == 4 and len(list(tmp_path.glob("task*"))) == 3
 
 
+def test_paths_of_long_and_deep_payloads(spark):
+    from chatloom.operators import extract
+
+    payload = json.dumps({"turns": [{"text": "x"}] * 30, "a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": 1}}}}}}}})
+    got = {r["key_path"]: r["n_values"] for r in extract.json_paths(spark.createDataFrame([(payload,)], "payload string"), "payload").collect()}
+    assert got["turns[].text"] == 30 and got["a.b.c.d.e.f.g.h"] == 1
+
+
 def test_retries(spark):
     calls = spark.createDataFrame([(1, "a")], "request_id int, prompt string")
 
