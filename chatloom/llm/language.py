@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.messages import messages
 from ..session import spread
 from . import prose
+from .samples import sampled
 
 #: Bound of the sample of labelled messages that the context trees are built from.
 SAMPLE_MESSAGES = 16_000
@@ -270,7 +271,7 @@ class Reader:
                 # of one unit, its language is the first and its lead over the second is kept with it
                 rival = strong[at][1][1] if strong[at][1][0] == path[at] else 0.0
             else:
-                total = np.sum([g[2] for _, g in strong[at:end]], axis=0) if end - at <= 8 else sum(g[2] for _, g in strong[at:end])
+                total = sum(g[2] for _, g in strong[at:end])
                 rival = float(np.partition(total, 1)[1] - total[path[at]])
             confidence = 1 / (1 + 2 ** -min(60.0, max(0.0, rival / 4)))
             out.append((self.trees.langs[path[at]], round(confidence, 4), " ".join(u for u, _ in strong[at:end])))
@@ -291,13 +292,7 @@ def texts_of(raw: DataFrame, enriched: DataFrame) -> DataFrame:
 
 def labelled_sample(raw: DataFrame, bound: int = SAMPLE_MESSAGES) -> list[tuple[str, str]]:
     """About ``bound`` (text, language of the label) pairs of records chosen by a hash of row_id."""
-    n = raw.count()
-    if not n:
-        return []
-    part = int(min(1.0, bound / (3.0 * n)) * (1 << 30)) + 1
-    some = raw.where(F.pmod(F.xxhash64("row_id"), F.lit(1 << 30)) < part)
-    rows = messages(some, "row_id").where("content IS NOT NULL AND language IS NOT NULL").select("content", "language").limit(2 * bound).collect()
-    return [(r[0], c) for r in rows if (c := label_code(r[1]))]
+    return [(text, c) for text, label in sampled(raw, bound, "content", "language") if (c := label_code(label))]
 
 
 def segment(raw: DataFrame, enriched: DataFrame) -> DataFrame:

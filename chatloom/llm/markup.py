@@ -182,18 +182,51 @@ _HEAD_TAG = re.compile(r"<h([1-6])[^>]*>(.*?)</h\1>", re.I | re.S)
 _SECTION = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 
 
+_PRIVATE = (*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE))
+_TEX_OPEN = re.compile(r"\\(text\w\w|emph|underline|mbox|url|title|author|caption|footnote)\{|(?<!\\)[{}]")
+
+
+def _unwrapped(t: str) -> str:
+    """LaTeX commands around text give way to that text, however deep, a footnote to its text in brackets; one pass with a stack."""
+    if "\\" not in t:
+        return t
+    out: list[str] = []
+    opened: list[tuple[int, str, str]] = []
+    at = 0
+    for m in _TEX_OPEN.finditer(t):
+        out.append(t[at : m.start()])
+        at = m.end()
+        if m[0] == "}":
+            out.append(opened.pop()[2] if opened else "}")
+            continue
+        opened.append((len(out), m[0], "}" if m[0] == "{" else ")" if m[1] == "footnote" else ""))
+        out.append("{" if m[0] == "{" else " (" if m[1] == "footnote" else "")
+    for place, sign, _ in opened:  # never closed
+        out[place] = sign
+    return "".join(out) + t[at:]
+
+
 def clean(text: str | None) -> str | None:
     """Clean text that keeps structure in one light notation: headings as ``#`` lines, list items as ``-`` or
     ``1.`` lines, code blocks between ``` fences unchanged, formulas as ``$...$``; emphasis, links, tables,
-    comments and entities become their plain text; runs of more than 40 spaces outside of code blocks are cut to 40. Null stays null; text without markup stays as it is.
+    comments and entities become their plain text; of lines that end in more than 40 spaces these go. Null stays null; text without markup stays as it is.
     """
     if text is None or not found(text):
         return text
     kept: list[str] = []
 
+    # what is kept as it is gives way to its number between two signs that no reading of the text holds
+    every = text + html.unescape(text) + html.unescape(html.unescape(text))
+    mark = next((ch for ch in map(chr, _PRIVATE) if ch not in every), None)
+    if mark is None:
+        return text
+
     def keep(s: str) -> str:
         kept.append(s)
-        return f"\x00{len(kept) - 1}\x00"
+        return f"{mark}{len(kept) - 1}{mark}"
+
+    def long_space(m: re.Match) -> str:
+        return "" if m.end() == len(m.string) or m.string[m.end()] == "\n" else m[0][:40] + keep(m[0][40:])
 
     def block(code: str, tongue: str = "") -> str:
         return "\n" + keep(f"```{tongue}\n{code.strip(chr(10))}\n```") + "\n"
@@ -218,9 +251,9 @@ def clean(text: str | None) -> str | None:
     t = _LST.sub(lambda m: block(m[2] or ""), t)
     t = re.sub(r"\\begin\{(equation|align|displaymath)\*?\}(.*?)\\end\{\1\*?\}", lambda m: keep(f"${m[2].strip()}$"), t, flags=re.S)
     t = _TEX_MATH.sub(lambda m: keep("$" + m[0].strip("$").removeprefix("\\(").removesuffix("\\)").removeprefix("\\[").removesuffix("\\]").strip() + "$"), t)
-    t = prose.LONG_SPACE.sub(" " * 40, t)
+    t = prose.LONG_SPACE.sub(long_space, t)
     # code outside of fences is kept as it is
-    t = "\n".join(keep(r.text) if r.kind == "code" and not _HTML_TAG.search(r.text) and "\x00" not in r.text else r.text for r in prose.lines(t))
+    t = "\n".join(keep(r.text) if r.kind == "code" and not _HTML_TAG.search(r.text) and mark not in r.text else r.text for r in prose.lines(t))
     t = _HEAD_TAG.sub(lambda m: "\n" + "#" * int(m[1]) + " " + m[2].strip() + "\n", t)
     t = re.sub(r"<li[^>]*>", "\n- ", t, flags=re.I)
     t = re.sub(r"<(?:br|/p|/div|/tr|/ul|/ol|p|div|blockquote|/blockquote)\b[^>]*>", "\n", t, flags=re.I)
@@ -230,9 +263,7 @@ def clean(text: str | None) -> str | None:
     t = re.sub(r"\\(?:label|cite[tp]?|ref|eqref|usepackage|documentclass|includegraphics)(?:\[[^\]]*\])?\{[^{}\n]*\}", "", t)
     t = re.sub(r"\\item\b\s*", "- ", t)
     t = _TEX_ENV.sub("", t)
-    for _ in range(3):
-        t = re.sub(r"\\(?:text\w\w|emph|underline|mbox|url|title|author|caption)\{([^{}]*)\}", r"\1", t)
-        t = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", t)
+    t = _unwrapped(t)
     t = re.sub(r"(?<=\S)\s*\\\\\s*$|~(?=\s|$)", "", t, flags=re.M)
     out = []
     for line in t.split("\n"):
@@ -265,8 +296,11 @@ def clean(text: str | None) -> str | None:
     t = re.sub(r"\*\*(?=\S)([^*\n]+?)\*\*|~~(?=\S)([^~\n]+?)~~|(?<![\w_])__(?=[^\s_])([^_\n]*?[^\s_])__(?![\w_])", lambda m: m[1] or m[2] or m[3], t)
     t = re.sub(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?[^\s*])\*(?![\w*])|(?<!`)`([^`\n]+)`(?!`)", lambda m: m[1] or m[2], t)
     t = re.sub(r"\s~{3,5}(?=\s|$)", "", t)
-    while "\x00" in t:
-        t = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], t)
+    # what was kept holds only what was kept before it
+    for i in range(len(kept)):
+        if mark in kept[i]:
+            kept[i] = re.sub(f"{mark}(\\d+){mark}", lambda m: kept[int(m[1])], kept[i])
+    t = re.sub(f"{mark}(\\d+){mark}", lambda m: kept[int(m[1])], t)
     return re.sub(r"\n{3,}", "\n\n", t).strip("\n")
 
 

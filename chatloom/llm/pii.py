@@ -54,7 +54,7 @@ _ADDRESSES = {
     ),
     "romance": re.compile(
         rf"(?<!\w)(?:Calle|C/|Avenida|Avda\.?|Paseo|Plaza|Camino|Carretera|Travesía|Ronda|Via|Viale|Piazza|Corso|Vicolo|Largo|Strada|Rua|Travessa|Praça|Estrada|Alameda|Av\.)"
-        rf" (?:(?:de|del|de la|de los|da|do|dos|das|della|dei|di) )?{_PLACE},? (?:n[º°.]? ?)?\d{{1,5}}[A-Za-z]?(?:,? (?:\d{1,2}[ºª°] ?\w?|bis))?"
+        rf" (?:(?:de|del|de la|de los|da|do|dos|das|della|dei|di) )?{_PLACE},? (?:n[º°.]? ?)?\d{{1,5}}[A-Za-z]?(?:,? (?:\d{{1,2}}[ºª°] ?\w?|bis))?"
         rf"(?:{_GAP}\d{{4,5}}(?:-\d{{3}})?(?: {_PLACE})?|{_GAP}{_PLACE})?(?![\w-])"
     ),
     "french": re.compile(

@@ -328,3 +328,36 @@ def test_odd_rows_of_all_operators(spark, odd_raw):
         assert pairs.counts(raw).count() >= 0
     defects = {(r["row_id"], r["msg_pos"]): r["defect"] for r in pairs.found_rows(odd_raw).collect()}
     assert defects[(5, 0)] == "copy" and defects[(None, 0)] == "empty" and (4, 1) not in defects
+
+
+def test_clean_text_holds_whatever_a_message_holds():
+    assert markup.clean("**a** b\x00c") == "a b\x00c"
+    assert markup.clean("**a**" + " " * 100 + "b") == "a" + " " * 100 + "b"
+    assert markup.clean(r"\emph{a \textbf{b \textit{c \underline{d \mbox{e}}}}} {x}") == "a b c d e {x}"
+    assert markup.clean("\\footnote{see \\emph{this}} and \\emph{never closed") == " (see this) and \\emph{never closed"
+    deep = "\\emph{" * 20_000 + "x" + "}" * 20_000
+    assert markup.clean(deep + " $a_1$") == "x $a_1$"
+
+
+def test_long_credentials_are_scored_whole(secret_model):
+    key = SECRET * 210
+    text = f'api_key = "{key}"\nnext = 1'
+    assert credentials.redact(text, secret_model) == 'api_key = "[CREDENTIAL]"\nnext = 1'
+
+
+def test_long_pairs_are_read_in_linear_time():
+    import time
+
+    a = " ".join(f"word{i}" for i in range(24_000))
+    start = time.perf_counter()
+    assert not pairs.copies(a, " ".join(f"word{i % 40_000}" for i in range(24_000, 48_000)))
+    assert time.perf_counter() - start < 0.5
+
+
+def test_samples_are_bounded_in_characters(raw_of):
+    from chatloom.llm import samples
+
+    raw = raw_of([[("user", "x" * 1000, "en"), ("assistant", None, "en")] for _ in range(50)])
+    assert len(samples.sampled(raw, 1000, "content")) == 50
+    assert 0 < len(samples.sampled(raw, 1000, "content", "language", chars=10_000)) <= 10
+    assert samples.sampled(raw.limit(0), 1000, "content") == []
