@@ -62,15 +62,13 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[list[int]], table: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Hilbert keys of documents: token ids hashed to directions, summed, scaled and cut into cells."""
-    n = np.array([len(row) for row in ids])
-    v = np.zeros((len(ids), table.shape[1]), np.float32)
-    some = np.flatnonzero(n)
+def curve_keys(sizes: np.ndarray, ids: np.ndarray, table: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Hilbert keys of documents, given as the sizes of their lists of token ids and all ids end to end: directions of ids summed, scaled and cut into cells."""
+    v = np.zeros((len(sizes), table.shape[1]), np.float32)
+    some = np.flatnonzero(sizes)
     if len(some):
-        every = np.fromiter((i for row in ids for i in row), np.int64, int(n.sum()))
-        starts = np.cumsum(n[some]) - n[some]
-        v[some] = np.add.reduceat(table[every], starts, axis=0) / np.sqrt(n[some])[:, None]
+        n = sizes[some]
+        v[some] = np.add.reduceat(table[ids], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
     cells = np.clip((np.tanh(v / 2) + 1) / 2 * (1 << bits), 0, (1 << bits) - 1)
     return hilbert(cells, bits)
 
@@ -106,26 +104,24 @@ def items(docs: DataFrame, capacity: int = CAPACITY, path: str = tokens.VOCABULA
     Null and empty texts are items of size 0.
     """
     of_byte, merges, texts = tokens.vocabulary(path)
-    sent = docs.sparkSession.sparkContext.broadcast((of_byte, merges, len(texts)))
+    sent = docs.sparkSession.sparkContext.broadcast((of_byte, merges, tokens.Reach.of(texts), len(texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = table = None
         for batch in batches:
             if merger is None:
-                a, b, n = sent.value
-                merger, table = tokens.Merger(a, b), projection(n)
-            docs_in, texts_in = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                *own, n = sent.value
+                merger, table = tokens.Merger(*own), projection(n)
+            texts_in = batch.column(1).to_pylist()
             for start, end in tokens.runs(texts_in):
-                ids = merger.encode(texts_in[start:end])
-                keys = curve_keys(ids, table)
-                rows = []
-                for doc, row, key in zip(docs_in[start:end], ids, keys.tolist(), strict=True):
-                    full, rest = divmod(len(row), capacity)
-                    sizes = [capacity] * full + ([rest] if rest or not full else [])
-                    rows += [(doc, piece, size, key) for piece, size in enumerate(sizes)]
-                columns = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece_no", "n_tokens", "curve_key"])
+                n_tokens, ids = merger.encode(texts_in[start:end])
+                keys = curve_keys(n_tokens, ids, table)
+                pieces = np.maximum(1, -(-n_tokens // capacity))
+                at = np.repeat(np.arange(len(pieces)), pieces)
+                piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                size = np.minimum(capacity, n_tokens[at] - piece * capacity)
+                columns = [batch.column(0).slice(start, end - start).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(size, pa.int32()), pa.array(keys[at], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece_no", "n_tokens", "curve_key"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return spread(rows).mapInArrow(run, "doc_id long, piece_no int, n_tokens int, curve_key long")

@@ -114,6 +114,19 @@ def test_ids_equal_those_of_the_library(spark, vocabulary):
     assert tokens.encode(df.limit(0)).count() == 0
 
 
+def test_ids_of_long_words(vocabulary):
+    tokenizers = pytest.importorskip("tokenizers")
+    import random
+
+    draw = random.Random(3)
+    t = tokenizers.Tokenizer.from_file(vocabulary)
+    of_byte, merges, held = tokens.vocabulary(vocabulary)
+    merger = tokens.Merger(of_byte, merges, tokens.Reach.of(held))
+    long = ["a" * 5000, "".join(draw.choice("etaoinshrdlu") for _ in range(5000)), "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(2000)), "=-" * 2000, "²ab³ 1½", "", None]
+    sizes, ids = merger.encode(long)
+    assert tokens.lists(sizes, ids).to_pylist() == [t.encode(x or "", add_special_tokens=False).ids for x in long]
+
+
 def test_real_documents_round_trip(spark, vocabulary):
     if not Path(DATA).exists():
         pytest.skip("no test tables here")
