@@ -5,9 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 from math import exp
-from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -68,33 +67,55 @@ _ADDRESSES = {
     "cjk": re.compile(r"(?:[一-鿿]{2,8}(?:省|市|区|县|都|府|県|町|村)){1,4}[一-鿿\w\d・-]{0,20}?(?:路|街|道|巷|丁目|番地|号)\d*[号室-]*\d*"),
     "russian": re.compile(r"(?:ул\.|улица|пр\.|проспект|пер\.|переулок|ш\.|шоссе|наб\.)\s[А-ЯЁ][А-Яа-яё -]+?,?\s(?:д\.|дом)?\s?\d+[а-я]?(?:,\s?кв\.?\s?\d+)?(?:,\s\d{6})?(?:,?\s[А-ЯЁ][а-яё-]+)?"),
 }
-_NAME = re.compile(rf"(?<![\w@.+/-]){_CAP}(?:[ \t]+(?:{_CAP}|[A-Z]\.|van|von|de|da|di|del))*(?![\w@(]|\.\w|/|-\w)|(?<![\w@.+/-])[A-Z]{{3,}}(?: [A-Z]{{3,}})?(?![\w@])|(?<=[Hh]i )[a-z]+(?=,)")
-
+_CAPITAL, _SMALL = "[A-ZÀ-ÖØ-Þ]", "[a-zß-öø-ÿ]"
+_NAME = re.compile(
+    rf"{_CAPITAL}(?<![\w@.+/-].)(?:{_SMALL}+(?:['’-][A-ZÀ-Ý]?{_SMALL}+)*(?:[ \t]+(?:{_CAP}|[A-Z]\.|van|von|de|da|di|del))*(?![\w@(]|\.\w|/|-\w)|(?<=[A-Z])[A-Z]{{2,}}(?: [A-Z]{{3,}})?(?![\w@]))"
+)
+_SMALL_NAME = re.compile(r"(?<=[Hh]i )[a-z]+(?=,)")
+#: No phone number or number of an identity paper is without these runs of digits.
+_PHONE_SIGN = re.compile(r"\d(?:[ .\-/()]{0,3}\d){7}")
+_ID_SIGN = re.compile(r"\d\d ?\d\d ?\d\d|\d{3}(?:-\d\d-|\.\d{3}\.)|\d\d[A-Z]\d\d[A-Z]\d{3}")
+
+#: Common first names, in their usual spellings, of the languages read here.
+_FIRST_NAMES = frozenset(
+    "James John Robert Michael David Richard Joseph Thomas Christopher Daniel Matthew Anthony Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy Jeffrey Ryan Jacob Nicholas Jonathan Stephen Samuel "
+    "Benjamin Gregory Alexander Patrick Oliver Harry Victor Marcus Simon Martin Peter Paul Adam Liam Noah Ethan Lucas Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret "
+    "Sandra Ashley Emily Michelle Amanda Melissa Deborah Stephanie Rebecca Laura Helen Anna Emma Olivia Sophia Charlotte Hannah Rachel Julia Alice Claire Maria Elena Ingrid Leila Priya "
+    "Hans Klaus Jürgen Stefan Wolfgang Andreas Jonas Lukas Felix Sebastian Tobias Katrin Sabine Monika Ursula Heike Anja Birgit Jean Pierre Michel Philippe Julien Mathieu Nicolas Antoine Camille Élodie "
+    "Isabelle Nathalie Sophie Chloé Aurélie José Juan Carlos Javier Luis Miguel Alejandro Pablo Rafael Carmen Lucía Isabel Pilar Beatriz Sofía João Pedro Tiago Paulo Ana Fernanda Giovanni Giuseppe Marco "
+    "Luca Matteo Francesco Chiara Giulia Francesca Paola Ivan Dmitri Sergei Olga Natalia Tatiana Wei Ming Hiroshi Takashi Yuki Sakura Ahmed Mohammed Fatima Aisha Omar Raj Arjun Anil Sunita Deepa".split()
+)
 _SELF = re.compile(
-    r"(?:[Mm]y name is|I am called|[Mm]e llamo|[Mm]i nombre es|[Jj]e m'appelle|[Mm]on nom est|[Mm]i chiamo|[Ii]ch heiße|[Mm]ein Name ist|[Mm]eu nome é|[Cc]hamo-me|Author:|Committer:|Signed-off-by:|"
-    r"Co-authored-by:|Reviewed-by:|[Rr]egards,|Sincerely,|Cheers,|contact there is|signed as|reported by|opened by|Меня зовут)\s+$"
+    r"(?:[Mm]y name is|[Tt]his is|[Mm]e llamo|[Mm]i nombre es|[Jj]e m'appelle|[Mm]on nom est|[Mm]i chiamo|[Ii]l mio nome è|[Ii]ch heiße|[Mm]ein Name ist|[Mm]eu nome é|[Cc]hamo-me|[Mm]e chamo|Меня зовут|"
+    r"(?:Author|Committer|Maintainer|Reporter|Contact|Name|From|To|Cc|[A-Z][a-z]+(?:-[a-z]+)*-by)[:：]|(?:[Ss]igned|[Rr]eported|[Oo]pened|[Ww]ritten|[Rr]eviewed) (?:as|by)|"
+    r"(?:[Rr]egards|[Ss]incerely|[Cc]heers|[Bb]est|[Ss]aludos|[Cc]ordialement|[Gg]rüße|[Aa]tenciosamente|[Ss]aluti),)\s+$"
 )
-#: One of these is in every text with an introduction.
-_SELF_SIGNS = (
-    "y name is", "I am called", "e llamo", "i nombre es", "e m'appelle", "on nom est", "i chiamo", "ch heiße", "ein Name ist", "eu nome é", "hamo-me", "Author:", "Committer:", "Signed-off-by:",
-    "Co-authored-by:", "Reviewed-by:", "egards,", "Sincerely,", "Cheers,", "contact there is", "signed as", "reported by", "opened by", "Меня зовут",
-)
-_BEFORE_NAME = re.compile(
-    r"(?:\b(?:hi|hello|dear|hey|hola|bonjour|salut|ciao|hallo|liebe[r]?|ol[aá]|ask|thanks|cc|to|user|from|by|mr\.?|mrs\.?|ms\.?|dr\.?|deliver to:?|for|and|with|frag|fragt|demande(?:z)? à|chiedi a|pregunta a|fale com|пиши)[:,]?\s+"
-    r"|[;\"]|\d;)$",
+#: A mailbox or a row of a table: a name before the address or number that goes with it.
+_MAILBOX = re.compile(r"\s*<[^<>\s@]+(?:@|\(at\)|\[at\]|\s?\[at\]\s)|[;,\t][^;,\s@]+@[\w-]+\.|[;,\t]\(?\+?\d[\d ().-]{6,}")
+_GREETED = re.compile(
+    r"\b(?:hi|hello|dear|hey|hola|bonjour|salut|ciao|hallo|liebe[r]?|ol[aá]|oi|привет|ask|thanks|thank you|cc|mr\.?|mrs\.?|ms\.?|dr\.?|frau|herr|señora?|madame|monsieur|frag|fragt|demande(?:z)? à|chiedi a|pregunta a|pergunt[ae] a|fale com|"
+    r"gracias|merci|danke|obrigad[oa]|grazie|спроси|пиши)[:,]?\s+$",
     re.I,
 )
-_AFTER_NAME = re.compile(r"^(?:\s*[<;(]|,?\s+(?:and I maintain|from my team|wrote|said|and left|and [A-Z]|one more|phone|via)|\s+(?:y mantengo|et je|e curo|und pflege|e cuido)|,\s*(?:one|noch|una|une|mais|ancora)|\n\d+ )")
+_BEFORE_NAME = re.compile(r"\b(?:to|user|from|by|for|and|with|e|y|et|und)[:,]?\s+$|[;\"]$", re.I)
+_AFTER_NAME = re.compile(r"^(?:\s*[<;(]|,?\s+(?:and (?=[A-Z])|wrote|said|asked|says)|,\s)")
+#: Capitalised words that begin sentences or address no one.
+_NO_NAME = frozenset(
+    "Ask Thanks Thank Regards Cheers The This That These Those There Here When Where What Why How Which Who If In On At For From To And But Or Not Is Are Was Were Do Does Did Can Could Should Would Will May Please Note Use Using See It We You They He She I My Our Your "
+    "All Any Each Every Some No Yes Only Then Also After Before Since Until While With Without Best Hello Hi Dear Hey World Team Everyone Folks Der Die Das Ein Eine Ich Wir Sie Es Im Am Wenn Wie Was Warum Als Bitte Mein Meine Kein "
+    "El La Los Las Un Una Le Les Des Il Lo Gli Mi Me Mon Ma Je Tu Que Si Para Por Se Os As O A Um Uma Meu Minha Como No Na Em De Da Do Di Del Della Al Con Per Non Qui Quando Cosa".split()
+)
 _PRODUCT = re.compile(
     r"^\s+(?:scheduler|queue|server|service|cluster|library|framework|engine|protocol|algorithm|module|plugin|driver|format|parser|database|release|build|theme|font|Street|Road|Lane|Ave|Close|"
     r"annotation|method|filter|theorem|distance|index|test|code|hash|tree|sort|notation|cipher|map|chart)\b",
     re.I,
 )
 _CALL = re.compile(
-    r"(?:phone|tel(?:e(?:phone|fon[eo]?))?\.?|mobile|cell|call (?:me )?(?:on|at)|reach (?:me|us) (?:on|at)|number|fax|whatsapp|ll[áa]mame al|tel[ée]fono|appelez-moi au|au|ligue para|telefone|chiamami al|ruf mich unter|unter|Telefon|and left|звони(?:те)?|电话|電話)"
+    r"(?:phone|tel(?:e(?:phone|fon[eo]?))?\.?|mobile|cell|(?:call|ring|dial|text)(?: (?:me|us|him|her|them))?(?: on| at)?|reach (?:me|us|him|her|them) (?:on|at)|number|fax|whatsapp|ll[áa]mame al|tel[ée]fono|appelez-moi au|au|ligue para|telefone|chiamami al|ruf mich unter|unter|Telefon|звони(?:те)?|电话|電話)"
     r"[:.\s]*(?:is|es|est|ist|è|é)?[:\s]*$",
     re.I,
 )
+_CALL_AFTER = re.compile(r"\s*,?\s*(?:as|is) (?:his|her|my|their|our) (?:\w+ )?(?:number|phone)|\s*\((?:phone|mobile|cell|tel|fax|home|work)\b", re.I)
 _NOT_PHONE = re.compile(
     r"(?:build|ticket(?: number)?|constant|session(?: id)?|version|port|id|issue|order|invoice|commit|line|row|bytes|ip|calls|upgraded from|to|limit|code|pid|offset|timeout|revision|release|seed|mask|step|page|size|#|v|=|:\/\/\S*)\s*$",
     re.I,
@@ -108,13 +129,13 @@ _ID_SIGNS = (
     "ssn", "security", "passport", "insurance", "licen", "tax", "identi", "id card", "nif", "cpf", "cnpj", "niss", "dni", "steuer", "ausweis", "sozialvers", "reisepass", "fiscal", "sécurité", "securite",
     "pasaporte", "passeport", "passaporte", "passaporto", "segurança", "contribuinte", "инн", "снилс", "паспорт", "身份证", "护照", "マイナンバー", "旅券",
 )
-_ADDRESS_SIGNS = {
-    "en": (" St", " Road", " Rd", " Lane", " Ln", " Ave", " Close", " Dr", " Court", " Ct", " Place", " Square", " Way", " Terrace", " Boulevard", " Blvd", " Crescent", " Grove", " Hill", " Row", " Mews", " Parkway", " Pkwy"),
-    "romance": ("Calle", "C/", "Av", "Paseo", "Pla", "Camino", "Carretera", "Trav", "Ronda", "Via", "Pia", "Corso", "Vicolo", "Largo", "Strada", "Rua", "Praça", "Estrada", "Alameda"),
-    "french": ("rue", "avenue", "av.", "boulevard", "bd", "chemin", "place", "allée", "impasse", "quai", "route", "cours", "square", "passage", "sentier"),
-    "german": ("str", "weg", "gasse", "platz", "Platz", "allee", "ring", "damm", "ufer", "steig", "pfad", "markt", "hof", "chaussee", "Am ", "An der", "Auf dem", "Im ", "In der", "Zum", "Zur", "Unter den", "Alte", "Neue", "Hinter der", "Straße", "Weg", "Allee", "Gasse"),
-    "cjk": ("路", "街", "道", "巷", "丁目", "番地", "号"),
-    "russian": ("ул", "пр", "пер", "ш", "наб"),
+_ADDRESS_SIGN = {
+    "en": re.compile(r"\d[A-Za-z]? [A-ZÀ-Þ]"),
+    "romance": re.compile(r"[ACELPRSTV](?:alle|/|v|aseo|la|amino|arretera|rav|onda|ia|orso|icolo|argo|trada|ua|raça|strada|lameda|iale|iazza)[^\n]{2,300}?\d"),
+    "french": re.compile(r"\d(?: bis| ter| quater)?,? [rabcpiqs]"),
+    "german": re.compile(r"[a-zßäöü] \d{1,4}[a-z]?(?![\w.])"),
+    "cjk": re.compile("[路街道巷目地号]"),
+    "russian": re.compile("(?:ул|пр|пер|ш|наб)[а-я.]"),
 }
 _ANY_DIGIT = re.compile(r"\d")
 _EMAIL_SIGNS = ("@", "[at]", "(at)", "{at}", " dot ")
@@ -130,20 +151,22 @@ class Span(NamedTuple):
 
 
 class Gazetteer(NamedTuple):
-    """First and last names that introduced themselves."""
+    """First and last names that introduced themselves, and common first names."""
 
     first: frozenset[str]
     last: frozenset[str]
 
 
+#: What may stand between a name and the item that goes with it: marks and up to three words, no end of a sentence.
+_NEAR_ITEM = re.compile(r"[ \t]*[<(\[\"';,|:\t-]*[ \t]*\n?[ \t]*(?:[a-zà-ÿ]+[:,]?[ \t]*){0,3}[<(\[\"';,|:\t-]*[ \t]*")
 _FULL_NAME = re.compile(rf"{_CAP}[ ]{_CAP}")
 
 
 def introduced(text: str) -> Iterator[tuple[str, str]]:
     """First and last name of each introduction in a text: contexts that only a person's name fills."""
     for m in _FULL_NAME.finditer(text):
-        if _SELF.search(text[max(0, m.start() - 24) : m.start()]):
-            a, _, b = m[0].partition(" ")
+        a, _, b = m[0].partition(" ")
+        if a not in _NO_NAME and b not in _NO_NAME and (_SELF.search(text[max(0, m.start() - 24) : m.start()]) or _MAILBOX.match(text, m.end())):
             yield a, b
 
 
@@ -151,15 +174,15 @@ def learn_names(texts: list[str]) -> Gazetteer:
     """First names met at least twice and last names met in the introductions of texts."""
     pairs = [p for t in texts for p in introduced(t)]
     first = Counter(a for a, _ in pairs)
-    return Gazetteer(frozenset(w for w, n in first.items() if n >= 2), frozenset(b for _, b in pairs))
+    return Gazetteer(_FIRST_NAMES | {w for w, n in first.items() if n >= 2}, frozenset(b for _, b in pairs))
 
 
 def all_names(rows: DataFrame) -> DataFrame:
     """(word, first, last): names that introduce themselves in all messages, as ``learn_names`` keeps them.
 
-    Introductions are counted per batch before anything is shuffled; texts without a sign of one are not read in Python.
+    Introductions are counted per batch before anything is shuffled; texts without two capitalised words in a row are not read in Python.
     """
-    told = rows.where(reduce(or_, [F.contains("content", F.lit(x)) for x in _SELF_SIGNS])).select("content")
+    told = rows.where(F.col("content").rlike(_FULL_NAME.pattern)).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,12 +196,12 @@ def all_names(rows: DataFrame) -> DataFrame:
 
 
 def _gazetteer(rows) -> Gazetteer:
-    return Gazetteer(frozenset(r["word"] for r in rows if r["first"]), frozenset(r["word"] for r in rows if r["last"]))
+    return Gazetteer(_FIRST_NAMES | {r["word"] for r in rows if r["first"]}, frozenset(r["word"] for r in rows if r["last"]))
 
 
 def _words(text: str | None) -> list[str]:
     """The words of a text that may be looked up as names."""
-    return sorted({w.capitalize() for m in _NAME.finditer(text or "") for w in m[0].split()})
+    return sorted({w.capitalize() for p in (_NAME, _SMALL_NAME) for m in p.finditer(text or "") for w in m[0].split()})
 
 
 def with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -203,6 +226,10 @@ def spans(text: str, names: Gazetteer) -> list[Span]:
     """All candidates of all types with their labelers' votes; an address, e-mail or number hides what is inside."""
     out: list[Span] = []
     taken: list[tuple[int, int]] = []
+    told: list[tuple[int, int]] = []  # what a name may stand beside: items with the words that name them
+
+    def beside(a: int, b: int) -> bool:
+        return any(_NEAR_ITEM.fullmatch(text[b:x] if x >= b else text[y:a]) for x, y in told if 0 <= x - b <= 24 or 0 <= a - y <= 24)
 
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
@@ -218,15 +245,16 @@ def spans(text: str, names: Gazetteer) -> list[Span]:
         out.append(Span(m.start(), end, "email", _vote(
             (dotted, 1),
             (not dotted, -1),
-            (local.lower() in _MACHINE or local.lower().startswith("svc_"), -1),
+            (local.lower() in _MACHINE or local.lower().startswith(("svc_", "svc-")), -1),
             (bool(re.match(r":[\w~/]", after)), -1),
             (bool(re.search(r"://[^\s/]*$", before)) or "ssh-" in text[max(0, m.start() - 90) : m.start()].rpartition("\n")[2], -1),
-            ("internal.invalid" in domain or bool(re.search(r"\.(?:invalid|local|localhost|internal|lan)\b", domain)), -1),
+            (bool(re.search(r"\.(?:invalid|local|localhost|internal|lan)\b", domain)), -1),
         )))
         if not any(v < 0 for v in out[-1].votes):
             taken.append((m.start(), end))
+            told.append((m.start(), end))
     for form, pattern in _ADDRESSES.items():
-        if not (digits_in or form == "cjk") or not any(x in text for x in _ADDRESS_SIGNS[form]):
+        if not (digits_in or form == "cjk") or not _ADDRESS_SIGN[form].search(text):
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
@@ -238,9 +266,10 @@ def spans(text: str, names: Gazetteer) -> list[Span]:
                 (bool(re.search(r",[ \n]|\n", m[0])), 1),
                 (bool(re.search(rf"{_UNIT}", m[0])), 1),
                 (not re.search(r"[,\n]", m[0]) and not re.search(r"\d{5}", m[0]), -1),
-                (bool(re.search(r"\b(?:tile|line|step|page|build)\b", text[max(0, a - 20) : a], re.I)), -1),
+                (bool(_NOT_PHONE.search(text[max(0, a - 20) : a])), -1),
             )))
             taken.append((a, b))
+            told.append((a, b))
     for m in _ID_NAMED.finditer(text) if digits_in and (any(x in low for x in _ID_SIGNS) or "NIE" in text or "RG" in text) else ():
         a, b = m.span("value")
         value = m["value"]
@@ -252,30 +281,38 @@ def spans(text: str, names: Gazetteer) -> list[Span]:
             continue
         out.append(Span(a, b, "id_number", _vote((True, 1), (bool(_ID_SHAPE.fullmatch(value)), 1), (len(value) > 26, -1), (False, -1))))
         taken.append((a, b))
-    for m in _ID_SHAPE.finditer(text) if digits_in else ():
+        told.append((m.start(), b))
+    for m in _ID_SHAPE.finditer(text) if digits_in and _ID_SIGN.search(text) else ():
         if free(*m.span()):
             line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
             out.append(Span(*m.span(), "id_number", _vote((False, 1), (True, 1), (False, -1), (bool(_NOT_PHONE.search(line)), -1))))
             taken.append(m.span())
-    for m in _PHONE.finditer(text) if digits_in else ():
+    for m in _PHONE.finditer(text) if digits_in and _PHONE_SIGN.search(text) else ():
         a, b = m.span()
         s = m[0]
         digits = re.sub(r"\D", "", s)
         if not 8 <= len(digits) <= 15 or not free(a, b):
             continue
         before = text[max(0, a - 40) : a].rpartition("\n")[2]
+        named = bool(_CALL.search(before) or _CALL_AFTER.match(text, b))
         row = re.search(r"[;,\t]\"?$", before) is not None and bool(re.search(r"[;\"\n]|$", text[b : b + 1]))
         out.append(Span(a, b, "phone", _vote(
             (bool(re.match(r"\+|00[1-9]", s)), 1),
-            (bool(_CALL.search(before)), 1),
+            (named, 1),
             (bool(re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|0\d{4} \d{3} ?\d{3}|\d{3} \d{3} ?\d{3}|0\d(?: \d{2}){4}", s)), 1),
             (row, 1),
             (bool(_NOT_PHONE.search(before)) and not re.match(r"\+", s), -1),
             (bool(_DATE.match(s)), -1),
-            (s.isdigit() and not _CALL.search(before) and not row, -1),
+            (s.isdigit() and not named and not row, -1),
             (bool(re.search(r"[=<>({]\s*$|[a-f0-9]-$", before)), -1),
         )))
-    for m in _NAME.finditer(text):
+        if _sure(out[-1]) is not False:
+            said = _CALL.search(before)
+            told.append((a - len(said[0]) if said else a, b))
+    for m in chain(_NAME.finditer(text), _SMALL_NAME.finditer(text) if "hi " in low else ()):
+        # a word alone is no candidate unless it is known or greeted
+        if not any(x in m[0] for x in " \t") and m[0].capitalize() not in names.first and text[m.end() : m.end() + 1] not in (",", "!", ".", "\n", "\r"):
+            continue
         for a, b in _name_parts(text, m.start(), m.end(), names):
             if not free(a, b):
                 continue
@@ -284,37 +321,40 @@ def spans(text: str, names: Gazetteer) -> list[Span]:
             pair = len(words) >= 2
             surname = pair and words[-1].capitalize() in names.last
             before, after = text[max(0, a - 24) : a], text[b : b + 24]
-            said = bool(_SELF.search(before))
-            near = bool(_BEFORE_NAME.search(before) or _AFTER_NAME.match(after))
-            if not (known or surname or said):
+            said, greeted, with_item = bool(_SELF.search(before)), bool(_GREETED.search(before)), beside(a, b)
+            near = greeted or bool(_BEFORE_NAME.search(before) or _AFTER_NAME.match(after))
+            if pair and text[a:b].isupper() and not (known or surname or said or with_item):
+                continue
+            if not pair and not known and not (greeted and after[:1] in (",", "!", ".", "\n", "\r")):
                 continue
             out.append(Span(a, b, "name", _vote(
                 (known, 1),
                 (surname or (known and pair), 1),
                 (said, 1),
-                (near, 1),
+                (near and (known or greeted), 1),
+                (with_item, 1),
                 (bool(_PRODUCT.match(after)), -1),
-                (not pair and not near and not said, -1),
-                (not known and not said, -1),
+                (not pair and not near and not said and not with_item, -1),
+                (not (known or said or greeted or with_item or surname), -1),
                 (bool(re.match(r"[\w]*[(_=.]\w|\s*=", after)) or text[a - 1 : a] in ("_", ".", "/", "$", "#"), -1),
             )))
     return out
 
 
 def _name_parts(text: str, a: int, b: int, names: Gazetteer) -> Iterator[tuple[int, int]]:
-    """Of a run of capitalised words, the parts that may be a person's name."""
+    """Of a run of capitalised words, the parts that may be a person's name: a known first name with the word after it,
+    any two words of which none begins sentences, a word alone."""
     words = [(a + w.start(), a + w.end()) for w in re.finditer(r"\S+", text[a:b])]
     i = 0
     while i < len(words):
         word = text[words[i][0] : words[i][1]]
-        if word.capitalize() in names.first:
-            follows = i + 1 < len(words) and (text[words[i + 1][0]].isupper())
-            yield words[i][0], words[i + 1 if follows else i][1]
-            i += 2 if follows else 1
-        else:
-            if i == 0 and len(words) >= 2:
-                yield words[0][0], words[1][1]
+        known_next = word.capitalize() not in names.first and i + 1 < len(words) and text[words[i + 1][0] : words[i + 1][1]].capitalize() in names.first
+        if word.capitalize() in _NO_NAME or known_next:
             i += 1
+            continue
+        follows = i + 1 < len(words) and text[words[i + 1][0]].isupper() and text[words[i + 1][0] : words[i + 1][1]] not in _NO_NAME
+        yield words[i][0], words[i + 1 if follows else i][1]
+        i += 2 if follows else 1
 
 
 class Model(NamedTuple):
@@ -322,8 +362,10 @@ class Model(NamedTuple):
     weights: dict[str, list[float]]
 
 
+#: How strongly weights are drawn to those before training.
+RIDGE = 5.0
 #: Weights before training: labelers count alike, the rest must outweigh a doubt.
-_PRIOR = {"email": 6, "phone": 8, "id_number": 4, "address": 6, "name": 8}
+_PRIOR = {"email": 6, "phone": 8, "id_number": 4, "address": 6, "name": 9}
 
 
 def _row(s: Span) -> list[float]:
@@ -369,8 +411,8 @@ def train(texts: list[str], names: Gazetteer | None = None) -> Model:
             w = start.copy()
             for _ in range(30):
                 q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                g = x.T @ (q - p) + 0.5 * (w - start)
-                h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + 0.5 * np.eye(x.shape[1])
+                g = x.T @ (q - p) + RIDGE * (w - start)
+                h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + RIDGE * np.eye(x.shape[1])
                 w = w - np.linalg.solve(h, g)
             start = w
         weights[kind] = start.tolist()
@@ -383,7 +425,7 @@ def _sure(s: Span) -> bool | None:
         return s.votes[0] > 0 and not any(v < 0 for v in s.votes)
     if s.kind == "phone" and (s.votes[5] < 0 or not any(v > 0 for v in s.votes) or (s.votes[4] < 0 and not s.votes[1])):
         return False
-    if s.kind == "name" and (s.votes[4] < 0 or s.votes[7] < 0):
+    if s.kind == "name" and (s.votes[5] < 0 or s.votes[8] < 0):
         return False
     return None
 
@@ -444,7 +486,7 @@ def scan(raw: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            models = [model.value._replace(names=Gazetteer(frozenset(f), frozenset(n))) for f, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)] if joined else [model.value] * len(texts)
+            models = [model.value._replace(names=Gazetteer(_FIRST_NAMES.union(f), frozenset(n))) for f, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)] if joined else [model.value] * len(texts)
             hits = [[{"start_pos": x, "end_pos": y, "pii_type": k} for x, y, k in found(t, m)] for t, m in zip(texts, models, strict=True)]
             clean = []
             for t, h in zip(texts, hits, strict=True):

@@ -1,5 +1,7 @@
 """Markup, credentials, languages, pairs, personal details and truncation on small cases, and on odd rows."""
 
+from collections import Counter
+
 import pytest
 
 from chatloom.llm import credentials, language, markup, pairs, pii, prose, truncation
@@ -241,6 +243,42 @@ def test_placeholders(pii_model):
     assert pii.replace(None, pii_model) is None
 
 
+#: Names, contexts and formats that no pattern was written from, with the items to find.
+HELD_OUT = [
+    ("Kindly forward this to Tomasz Wierzbicki <t.wierzbicki@firma.example.pl> today.", {"name": ["Tomasz Wierzbicki"], "email": ["t.wierzbicki@firma.example.pl"]}),
+    ("The build fails again.\n\nKind regards,\nNkechi Obiora", {"name": ["Nkechi Obiora"]}), ("Dear Ayumi, the parser drops the last row.", {"name": ["Ayumi"]}),
+    ("Customer record: Amara Diallo, +221 33 821 00 45, Dakar", {"name": ["Amara Diallo"], "phone": ["+221 33 821 00 45"]}), ("Thanks Wanjiru, that fixed it.", {"name": ["Wanjiru"]}),
+    ("name,mail,city\nBogdan Ionescu,bogdan.i@posta.example.ro,Cluj", {"name": ["Bogdan Ionescu"], "email": ["bogdan.i@posta.example.ro"]}), ("My name is Siobhan Gallagher and my script hangs.", {"name": ["Siobhan Gallagher"]}),
+    ("Reviewed-by: Eero Laaksonen <eero@lab.example.fi>", {"name": ["Eero Laaksonen"], "email": ["eero@lab.example.fi"]}), ("please call 020 7946 0958 after lunch", {"phone": ["020 7946 0958"]}),
+    ("You can reach me at (312) 867-5309 any day.", {"phone": ["(312) 867-5309"]}), ("ring +49 30 901820 before noon", {"phone": ["+49 30 901820"]}), ("Mon numéro est le 06 12 34 56 78 si besoin.", {"phone": ["06 12 34 56 78"]}),
+    ("My SSN is 219-09-9999, why is it logged?", {"id_number": ["219-09-9999"]}), ("passport number L8988901C was rejected by the form", {"id_number": ["L8988901C"]}), ("Mi DNI es 12345678Z y no pasa la validación.", {"id_number": ["12345678Z"]}),
+    ("codice fiscale RSSMRA85T10A562S non valido", {"id_number": ["RSSMRA85T10A562S"]}), ("Meine Steuernummer: 12/345/67890 wird abgelehnt.", {"id_number": ["12/345/67890"]}),
+    ("I live at 221 Rosewood Avenue, Springfield 62704 and the map is wrong.", {"address": ["221 Rosewood Avenue, Springfield 62704"]}), ("Die Rechnung ging an Lindenstraße 14, 10969 Berlin zurück.", {"address": ["Lindenstraße 14, 10969 Berlin"]}),
+    ("Vivo en Calle de Alcalá 45, 3º B, 28014 Madrid desde mayo.", {"address": ["Calle de Alcalá 45, 3º B, 28014 Madrid"]}), ("Le colis part au 12 bis rue de la Paix, 75002 Paris demain.", {"address": ["12 bis rue de la Paix, 75002 Paris"]}),
+    ("Spedito in Via Garibaldi 7, 20121 Milano ieri.", {"address": ["Via Garibaldi 7, 20121 Milano"]}), ("Write to j_smith-99 [at] web [dot] example [dot] org instead.", {"email": ["j_smith-99 [at] web [dot] example [dot] org"]}),
+    ("Could you ask Olumide Adeyemi about it? His phone: 0803 123 4567", {"name": ["Olumide Adeyemi"], "phone": ["0803 123 4567"]}), ("Me llamo Xiomara Quispe y mi consulta no termina.", {"name": ["Xiomara Quispe"]}),
+    ("Contact: Dagny Halvorsen (dagny@nord.example.no)", {"name": ["Dagny Halvorsen"], "email": ["dagny@nord.example.no"]}),
+    ("Ship to:\nFelipe Arruda\n18 Harbour Road\nBristol BS1 5TY", {"name": ["Felipe Arruda"], "address": ["18 Harbour Road\nBristol BS1 5TY"]}),
+    ("Use the Visual Studio Code extension with Google Chrome.", {}), ("Dijkstra's algorithm and the Floyd Warshall method differ.", {}), ("Run on Amazon Linux or Red Hat in New York.", {}), ("The Spring Boot app and Apache Kafka listen on port 9092.", {}),
+    ("git clone git@code.example.com:team/repo.git", {}), ("Order 20240115093000 took 12345678901 ms, build 2024-01-15 9.", {}), ("Hello World prints twice. Hi There, folks.", {}), ("The Unit Test uses Mock Server, version 10.20.30.40", {}),
+]
+
+
+def test_recall_by_type_on_held_out_formats(pii_model):
+    want, hit, wrong = Counter(), Counter(), []
+    for text, items in HELD_OUT:
+        got = {(text[a:b], k) for a, b, k in pii.found(text, pii_model)}
+        told = {(x, k) for k, of in items.items() for x in of}
+        want.update(k for _, k in told)
+        hit.update(k for _, k in told & got)
+        wrong += got - told
+        # nothing of an item is left in the replaced text
+        clean = pii.replace(text, pii_model)
+        assert not any(x in clean for x, _ in told & got)
+    assert {k: hit[k] / want[k] >= 0.9 for k in pii.TYPES} == dict.fromkeys(pii.TYPES, True)
+    assert not wrong
+
+
 def test_addresses_without_digits(pii_model):
     text = "请寄到北京市朝阳区建国路八号。"
     assert [s.kind for s in pii.spans(text, pii_model.names)] == ["address"]
