@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from typing import NamedTuple
 
@@ -25,13 +26,12 @@ KNOWN = 4
 SLOT_BITS = 24
 #: The rate of all sources counts as so many endings of each source.
 BASELINE_ENDINGS = 20
+#: A source whose prose lacks a terminator at most this often has none that ends in the middle of words never met.
+STRICT_SHARE = 0.3
 #: A length is a field limit of its source where at least so many texts, and so large a share of the source, have it.
 LIMIT_TEXTS, LIMIT_SHARE, LIMIT_LEAST = 5, 0.01, 200
 TERMINATORS = frozenset(".!?。！？:：;；")
 CLOSERS = "\"'`)]}>»”’）」』】*_~|"
-_IDENTIFIER = re.compile(r"\b(?:\w+(?:[_.]\w+)+|[a-z]+[A-Z]\w*|[A-Z][a-z0-9]+[A-Z]\w*)\b")
-_DIGITS = re.compile(r"\d+")
-_APART = re.compile("(?<![ \xa0\u202f])[ \xa0\u202f]+(?=[?!:;])")
 _MARKER = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.)\]|[(<\[]truncated[)>\]])$", re.I)
 _FENCE = re.compile(r"^\s*(`{3,}|~{3,})(.*)$")
 _URL = re.compile(r"(?:https?://|www\.)\S+$")
@@ -40,11 +40,109 @@ _BROKEN = re.compile("�$|\\\\u[0-9a-fA-F]{0,3}$|\\\\x[0-9a-fA-F]?$|&(?:#\\d{0,
 _CODE = re.compile(r"[;{}=<>$\\|]|\(\)|^\s{4,}|^\t|\w\(|^#!|^[\w.-]+:\s|^\./|^[a-f0-9]{16,}$|^\$ |\[\d")
 _CLOSED = re.compile(r"(?:\[\[?[^\[\]\n]+\]\]?|\]\([^()\n]*\)|\}\}|\|\}|</\w+>|\\end\{\w+\*?\})$")
 _PAIR = {")": "(", "]": "[", "}": "{"}
+_TAGS = re.compile(r"<(/?)(ul|ol|table|thead|tbody|tr|pre|div|section|article|blockquote|code|h[1-6]|em|strong|a|span|details|summary)\b[^<>]*>", re.I)
+_ENVIRONMENTS = re.compile(r"\\(begin|end)\{([a-zA-Z]+\*?)\}")
+_BLOCKS = re.compile(r"\{(code|noformat|quote|panel)(?::[^}\n]*)?\}|(\{\||\|\})")
+_SMILEY = re.compile(r"(?<!\w)[:;=8]-?[()\[\]{}]|^\s*\w{1,3}[.)]", re.M)
+_QUOTES = {"”": "“", "»": "«", "」": "「", "』": "『", "）": "（", "】": "【", "》": "《", **_PAIR}
 
 
-def plain(text: str) -> str:
-    """Identifiers as one sign, digits as 0, no space before a mark, so that contexts are shared between documents."""
-    return _APART.sub("", _DIGITS.sub("0", _IDENTIFIER.sub("§", text)))
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Signs of words, and decimal digits."""
+    every, tables = "".join(map(chr, range(0x110000))), []
+    for pattern in (r"\w+", r"\d+"):
+        tables.append(np.zeros(len(every), bool))
+        for m in re.finditer(pattern, every):
+            tables[-1][m.start() : m.end()] = True
+    return tables[0], tables[1]
+
+
+def _plain(codes: np.ndarray) -> np.ndarray:
+    """Codes of a text with identifiers as one sign, digits as 0 and no space before a mark, so that contexts are shared between documents.
+
+    An identifier is a run of words joined by single points that has a point, an inner underscore or a capital after a small letter or digit.
+    """
+    if not len(codes):
+        return codes
+    words, decimals = _tables()
+    word, digit = words[codes], decimals[codes]
+    before, after = np.zeros_like(word), np.zeros_like(word)
+    before[1:], after[:-1] = word[:-1], word[1:]
+    point = (codes == 46) & before & after
+    member = word | point
+    small = ((codes >= 97) & (codes <= 122)) | ((codes >= 48) & (codes <= 57))
+    capital = (codes >= 65) & (codes <= 90)
+    capital[1:] &= small[:-1]
+    capital[0] = False
+    sign = point | capital | ((codes == 95) & before & after)
+    start = member.copy()
+    start[1:] &= ~member[:-1]
+    run = np.cumsum(start)
+    named = np.zeros(int(run[-1]) + 1, bool)
+    named[run[sign]] = True
+    identifier = member & named[run]
+    digit &= ~identifier
+    keep = ~identifier | start
+    keep[1:] &= ~(digit[1:] & digit[:-1])
+    out = np.where(identifier, 167, np.where(digit, 48, codes))[keep].astype(codes.dtype)
+    space = (out == 32) | (out == 0xA0) | (out == 0x202F)
+    mark = (out == 33) | (out == 58) | (out == 59) | (out == 63)
+    # only runs of spaces are followed up, from their ends
+    ends = np.flatnonzero(space[:-1] & mark[1:])
+    if len(ends):
+        first = np.flatnonzero(space & ~np.concatenate([[False], space[:-1]]))
+        begin = first[np.searchsorted(first, ends, side="right") - 1]
+        gone = np.zeros(len(out) + 1, np.int64)
+        np.add.at(gone, begin, 1)
+        np.add.at(gone, ends + 1, -1)
+        out = out[np.cumsum(gone[:-1]) == 0]
+    return out
+
+
+def _tail(text: str) -> str:
+    """The end of a text as ``_plain`` has it, at least as long as the longest context where the text is."""
+    for window in (400, len(text)):
+        part = text[-window:]
+        if window < len(text):
+            cut = re.search(r"\s(?=\S)", part)
+            part = part[cut.end() :] if cut else ""
+        out = _text(_plain(_codes(part)))
+        if len(out) >= ORDERS[0] or window >= len(text):
+            return ("\0" + out) if len(part) == len(text) else out
+    return "\0"
+
+
+def unfinished(text: str) -> bool:
+    """Whether the stack automaton of markup, or that of brackets and quotes in the last paragraph, is not empty at the end."""
+    stack: list[str] = []
+    for pattern in (_TAGS if "<" in text else None, _ENVIRONMENTS if "\\" in text else None):
+        for m in pattern.finditer(text) if pattern else ():
+            name = m[2].lower()
+            if m[1] in ("", "begin"):
+                stack.append(name)
+            elif name in stack:
+                while stack.pop() != name:
+                    pass
+    for m in _BLOCKS.finditer(text) if "{" in text else ():
+        name = m[1] or "{|"
+        if (m[1] and stack[-1:] == [name]) or m[2] == "|}":
+            if stack[-1:] == [name]:
+                stack.pop()
+        else:
+            stack.append(name)
+    if stack:
+        return True
+    last = _SMILEY.sub(" ", text[text.rfind("\n\n") + 1 :])
+    if not any(ch in last for ch in "([{“«「『（【《"):
+        return False
+    for ch in last:
+        if ch in "([{“«「『（【《":
+            stack.append(ch)
+        elif ch in _QUOTES and _QUOTES[ch] in stack:
+            while stack.pop() != _QUOTES[ch]:
+                pass
+    return bool(stack)
 
 
 def open_at_end(lines: list[str]) -> tuple[bool, bool]:
@@ -92,6 +190,7 @@ def _hashes(codes: np.ndarray, slots: np.ndarray | None = None) -> Iterator[tupl
 
     With ``slots`` only contexts whose slot is set; a longer context is asked for only together with its ends.
     """
+    codes = codes.astype(np.uint64)
     ends, h, done = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 0
     for order in reversed(ORDERS):
         keep = ends >= order - 1
@@ -108,7 +207,11 @@ def _hashes(codes: np.ndarray, slots: np.ndarray | None = None) -> Iterator[tupl
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _runs(texts: list[str]) -> Iterator[np.ndarray]:
@@ -116,10 +219,10 @@ def _runs(texts: list[str]) -> Iterator[np.ndarray]:
     parts: list[str] = []
     size = 0
     for i, t in enumerate(texts):
-        parts.append(plain(t.rstrip()))
+        parts.append(t.rstrip())
         size += len(parts[-1])
         if size >= FIT_CHARS or i == len(texts) - 1:
-            yield _codes("\0" + "\0".join(parts) + "\0")
+            yield _plain(_codes("\0" + "\0".join(parts) + "\0"))
             parts, size = [], 0
 
 
@@ -179,13 +282,15 @@ def _tail_key(tail: str) -> int:
 class Ending(NamedTuple):
     """How a text ends: ``kind`` of cut where it is plain; ``ask`` where it takes more to tell: a mark of omission
     ("ellipsis"), code ("code"), prose without a terminator ("open"); what an open or marked text ends with
-    (``tail``); whether an unknown end is no sentence (``loose``); whether prose ends with a terminator (``ended``)."""
+    (``tail``); whether an unknown end is no sentence (``loose``); whether prose ends with a terminator (``ended``);
+    whether markup, a bracket or a quote is left open (``gap``)."""
 
     kind: str | None = None
     ask: str | None = None
     tail: str | None = None
     loose: bool = False
     ended: bool = False
+    gap: bool = False
 
 
 def ending(text: str | None) -> Ending:
@@ -206,32 +311,33 @@ def ending(text: str | None) -> Ending:
         return Ending("bracket")
     end = last.rstrip()
     if marker := _MARKER.search(end):
-        return Ending(ask="ellipsis", tail="\0" + plain(body.rstrip()[: -len(marker[0])].rstrip()))
+        return Ending(ask="ellipsis", tail=_tail(body.rstrip()[: -len(marker[0])].rstrip()))
     core = end.rstrip(CLOSERS)
     if core and core[-1] in TERMINATORS:
         return Ending(ended=not _CODE.search(last))
     if _CLOSED.search(end):
         return Ending()
     if _URL.search(end) or _CODE.search(last) or prose.looks_like_code(last):
-        return Ending() if _URL.search(end) or end.endswith(tuple("}])>;`")) else Ending(ask="code")
-    return Ending(ask="open", tail="\0" + plain(body.rstrip()), loose=bool(_LIST.match(last)) or len(end.split()) < 3)
+        return Ending() if _URL.search(end) or end.endswith(tuple("}])>;`")) else Ending(ask="code", gap=unfinished(body))
+    return Ending(ask="open", tail=_tail(body.rstrip()), loose=bool(_LIST.match(last)) or len(end.split()) < 3, gap=unfinished(body))
 
 
-def verdict(end: Ending, at_limit: bool, n, baseline: float = 1.0, free_source: bool = False) -> str | None:
+def verdict(end: Ending, at_limit: bool, n, baseline: float = 1.0, free_source: bool = False, strict_source: bool = False) -> str | None:
     """Why a text counts as cut, or None for a whole one. ``n``: what follows its last characters in all texts, None
     where they are not known. ``baseline``: the odds of its source's prose to lack a terminator, over those of all sources;
-    ``free_source``: most of its source's prose lacks one.
+    ``free_source``: most of its source's prose lacks one; ``strict_source``: at most STRICT_SHARE of it does.
     """
     if not end.ask:
         return end.kind
+    at_limit = at_limit or end.gap
     if end.ask == "code":
         return "sentence" if at_limit else None
     if end.ask == "ellipsis":
         return "ellipsis" if at_limit or (n is not None and n[0] > sum(n[1:])) else None
     if n is None:
-        return None if not at_limit and (end.loose or free_source) else "sentence"
+        return "sentence" if at_limit or (strict_source and not end.loose) else None
     goes_on, ended, line, done = (int(x) for x in n)
-    if goes_on > ended + line + done:
+    if goes_on > ended + line + done and not (end.loose and free_source):
         return "sentence"
     free = (line + done) / max(1, ended + line + done)
     free = free * baseline / max(1e-12, free * baseline + 1 - free)
@@ -249,24 +355,20 @@ def cut(text: str | None, at_limit: bool, model: dict) -> str | None:
     return verdict(end, at_limit, seen(model, end.tail) if end.tail else None)
 
 
-def limits(docs: DataFrame) -> DataFrame:
-    """Field limits by pile-ups of lengths: (source, unit, size), counted over all documents.
+def limits(sizes: DataFrame) -> DataFrame:
+    """Field limits by pile-ups of lengths: (source, unit, size), counted over all documents, given as (source, chars, bytes).
 
     Lengths are counted in characters and in bytes of UTF-8. A length is a limit of its source where it holds
     at least LIMIT_TEXTS texts and LIMIT_SHARE of the source; so a source has at most 2 / LIMIT_SHARE of them.
     """
-    t = docs.select(F.col("source").alias("source"), F.explode(F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length("text").alias("size")),
-        # a sequence broken by the cut was replaced by a sign of three bytes
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length(F.regexp_replace("text", "�$", "")).alias("size")),
-    )).alias("x")).select("source", "x.*").where(F.col("size").isNotNull())
-    n = t.groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
+    both = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")) for u in ("chars", "bytes")])
+    n = sizes.where("chars > 0").select("source", F.explode(both).alias("x")).groupBy("source", "x.unit", "x.size").agg(F.count("*").alias("n")).where("size IS NOT NULL")
     total = n.groupBy(F.col("source").alias("of"), F.col("unit").alias("in")).agg(F.sum("n").alias("total"))
     hit = (F.col("size") >= LIMIT_LEAST) & (F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("total"))
     return n.join(total, F.col("source").eqNullSafe(F.col("of")) & (F.col("unit") == F.col("in"))).where(hit).select("source", "unit", "size")
 
 
-_STATE = "doc_id long, source string, chars long, bytes long, kind string, ask string, loose boolean, ended boolean, tail long, " + ", ".join(f"h{o} long" for o in ORDERS)
+_STATE = "doc_id long, source string, chars long, bytes long, kind string, ask string, loose boolean, ended boolean, gap boolean, tail long, " + ", ".join(f"h{o} long" for o in ORDERS)
 
 
 def _signed(h: int | None) -> int | None:
@@ -283,8 +385,8 @@ def _endings(rows: DataFrame) -> DataFrame:
                 e, t = ending(text), text or ""
                 asked = tail_hashes(e.tail) if e.tail else {}
                 tail = _tail_key(e.tail) if e.tail else None
-                out.append((len(t), len(t.rstrip("�").encode("utf-8", "replace")), e.kind, e.ask, e.loose, e.ended, tail, *[_signed(asked.get(o)) for o in ORDERS]))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * (1 + len(ORDERS))]
+                out.append((len(t), len(t.rstrip("�").encode("utf-8", "replace")), e.kind, e.ask, e.loose, e.ended, e.gap, tail, *[_signed(asked.get(o)) for o in ORDERS]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), *[pa.int64()] * (1 + len(ORDERS))]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[c.split()[0] for c in _STATE.split(", ")])
 
@@ -330,7 +432,7 @@ def by_limits(light: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def baselines(told: DataFrame) -> DataFrame:
-    """(source, baseline, free_source): how prose of each source lacks a terminator, counted over all documents.
+    """(source, baseline, free_source, strict_source): how prose of each source lacks a terminator, counted over all documents.
 
     Endings at a field limit and those where text goes on are no choice of the source and don't count. A source's
     rate is drawn to that of all by BASELINE_ENDINGS; the baseline is its odds over those of all sources.
@@ -341,7 +443,7 @@ def baselines(told: DataFrame) -> DataFrame:
     every = by.agg(F.coalesce(F.sum("lacking"), F.lit(0)).alias("lacking"), F.coalesce(F.sum("ending"), F.lit(0)).alias("ending")).first()
     rate = (every["lacking"] + 0.5) / (every["lacking"] + every["ending"] + 1)
     own = (F.col("lacking") + BASELINE_ENDINGS * rate) / (F.col("lacking") + F.col("ending") + BASELINE_ENDINGS)
-    return by.select("source", (own / (1 - own) / (rate / (1 - rate))).alias("baseline"), (own > 0.5).alias("free_source"))
+    return by.select("source", (own / (1 - own) / (rate / (1 - rate))).alias("baseline"), (own > 0.5).alias("free_source"), (own <= STRICT_SHARE).alias("strict_source"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -357,14 +459,14 @@ def judge(docs: DataFrame) -> DataFrame:
     light = _endings(spread(rows)).checkpoint()
     tails = light.where("tail IS NOT NULL").groupBy("tail").agg(*[F.first(f"h{o}").alias(f"h{o}") for o in ORDERS])
     known = _contexts(spread(rows), tails)
-    told = by_limits(light, limits(rows)).join(known, "tail", "left").select("doc_id", "source", "kind", "ask", "loose", "ended", "full", "n").checkpoint()
+    told = by_limits(light, limits(light)).join(known, "tail", "left").select("doc_id", "source", "kind", "ask", "loose", "gap", "ended", "full", "n").checkpoint()
     by = baselines(told).withColumnRenamed("source", "_of")
-    told = told.join(by, F.col("source").eqNullSafe(F.col("_of")), "left").select("doc_id", "source", "kind", "ask", "loose", "full", "n", "baseline", "free_source")
+    told = told.join(by, F.col("source").eqNullSafe(F.col("_of")), "left").select("doc_id", "source", "kind", "ask", "loose", "gap", "full", "n", "baseline", "free_source", "strict_source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_id, source, *rest = batch.columns
-            kinds = [verdict(Ending(kind, ask, None, loose), full, n, baseline, free) for kind, ask, loose, full, n, baseline, free in zip(*[c.to_pylist() for c in rest], strict=True)]
+            kinds = [verdict(Ending(kind, ask, None, loose, False, gap), full, n, baseline, free, strict) for kind, ask, loose, gap, full, n, baseline, free, strict in zip(*[c.to_pylist() for c in rest], strict=True)]
             yield pa.RecordBatch.from_arrays([doc_id, source, pa.array(kinds, pa.string())], names=["doc_id", "source", "cut_kind"])
 
     return told.mapInArrow(run, "doc_id long, source string, cut_kind string")

@@ -320,11 +320,39 @@ def test_cuts(ends, text, full, kind):
     assert truncation.cut(text, full, ends) == kind
 
 
+@pytest.mark.parametrize(
+    "text,open_",
+    [
+        ("<div><p>One.</p><ul><li>Two", True), ("<div><p>One.</p></div>", False), ("\\begin{itemize}\n\\item one", True), ("\\begin{a}\\begin{b}\\end{b}\\end{a} x", False), ("{code:sql}\nSELECT 1", True), ("{code}\nx\n{code}", False),
+        ("He said “stop and (", True), ("It works (see above) :( 1) and 「これ」 go", False), ("earlier (never closed\n\nthe last paragraph", False), ("", False),
+    ],
+)
+def test_stacks_of_markup_and_quotes(text, open_):
+    assert truncation.unfinished(text) is open_
+
+
+def test_an_unknown_end_is_no_cut_by_itself(ends):
+    assert truncation.cut("Zwölf Boxkämpfer jagen Viktor quer", False, ends) is None
+    assert truncation.cut("Zwölf Boxkämpfer (jagen Viktor quer", False, ends) == truncation.cut("Zwölf Boxkämpfer jagen Viktor quer", True, ends) == "sentence"
+
+
+def test_an_unknown_end_is_judged_by_its_source():
+    end = truncation.Ending(ask="open")
+    assert truncation.verdict(end, False, None, strict_source=True) == "sentence" and truncation.verdict(end, False, None) is None
+    assert truncation.verdict(end._replace(loose=True), False, None, strict_source=True) is None
+
+
+def test_tails_equal_those_of_whole_texts():
+    for text in ("see load_all.run(1234 5) and  x1Y ! " * 40, "x" * 900, "short a.b", "a " * 300 + "é_é 12.5"):
+        whole = truncation._text(truncation._plain(truncation._codes("\0" + text)))
+        assert truncation._tail(text)[-24:] == whole[-24:]
+
+
 def test_limits_and_shares(spark):
-    whole, cut = SENTENCES["en"][0] + " ", "There is no need to copy"
+    whole, cut = SENTENCES["en"][0] + " ", SENTENCES["en"][0][:30]
     rows = [(i, (whole * 9)[: 300 if i % 3 == 0 else 330 + i], "a") for i in range(60)] + [(100 + i, f"{whole}{cut}" if i < 2 else whole, None) for i in range(10)] + [(200, None, "a"), (201, "", None)]
     df = spark.createDataFrame([(*r, 5, "clash") for r in rows], "doc_id long, text string, source string, n_chars long, cut_kind string")
-    assert {tuple(r) for r in truncation.limits(df).collect()} >= {("a", "chars", 300), ("a", "bytes", 300)}
+    assert {tuple(r) for r in truncation.limits(df.selectExpr("source", "length(text) AS chars", "octet_length(text) AS bytes")).collect()} >= {("a", "chars", 300), ("a", "bytes", 300)}
     shares = {r["source"]: (r["n_docs"], r["n_cut"]) for r in truncation.by_source(df).collect()}
     assert shares["a"][0] == 61 and shares[None] == (11, 2)
     assert truncation.found(df.limit(0)).count() == 0
@@ -399,3 +427,8 @@ def test_samples_are_bounded_in_characters(raw_of):
     assert len(samples.sampled(raw, 1000, "content")) == 50
     assert 0 < len(samples.sampled(raw, 1000, "content", "language", chars=10_000)) <= 10
     assert samples.sampled(raw.limit(0), 1000, "content") == []
+
+
+def test_a_prompt_without_an_answer_is_an_empty_pair(raw_of):
+    raw = raw_of([[("user", "Why does it stop?", "en")], [("User ", "One?", "en"), ("user", "Two?", "en"), ("assistant", PROSE, "en")], [("user", " ", "en")], [("assistant", PROSE, "en")], None, []])
+    assert sorted(tuple(r) for r in pairs.found_rows(raw).collect()) == [(0, 0, "empty"), (1, 0, "empty")]
