@@ -85,7 +85,7 @@ def secret_model():
         (f'api_key = "{SECRET}"', SECRET), (f"export NPM_TOKEN={SECRET}", SECRET), (f"curl -H 'Authorization: Bearer {SECRET}' https://a.b", SECRET), ("postgres://svc:Riv3r-stone@db.example/x", "Riv3r-stone"),
         (f"https://a.example/x?limit=5&access_token={SECRET}&z=1", SECRET), ("curl -u deploy:Falcon60- https://a.b", "Falcon60-"), ("password: 'kQ9!xmz2Lp'", "kQ9!xmz2Lp"), ("machine a.b login me password Xk29Lq81Zz", "Xk29Lq81Zz"),
         ('cs = "Server=a;User Id=svc;Password=amber-stone41;Timeout=3"', "amber-stone41"), ("CREATE USER x IDENTIFIED BY 'amberEiSkpFI';", "amberEiSkpFI"), ("<password>falconlffrMhSX</password>", "falconlffrMhSX"),
-        ("webhook = https://hooks.a.test/services/TAB12CD34/V1ybaMgbG0nnbucpQkeNkUzn", "https://hooks.a.test/services/TAB12CD34/V1ybaMgbG0nnbucpQkeNkUzn"),
+        ("webhook = https://hooks.a.test/services/TAB12CD34/V1ybaMgbG0nnbucpQkeNkUzn", "V1ybaMgbG0nnbucpQkeNkUzn"), ('$p = ConvertTo-SecureString "falcon7Gw46X" -AsPlainText', "falcon7Gw46X"),
     ],
 )
 def test_credentials_are_found_and_replaced(secret_model, text, value):
