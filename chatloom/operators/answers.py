@@ -35,45 +35,66 @@ def field(v: Column, name: str) -> Column:
 
 
 def has_field(v: Column, name: str) -> Column:
-    """Whether an answer has the field, be it null."""
-    return F.coalesce(F.schema_of_variant(v).rlike(rf"(?:^OBJECT<|, ){name}: "), F.lit(False))
+    """Whether an answer is an object that has the field itself, be it null."""
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & F.try_variant_get(v, f"$.{name}", "variant").isNotNull()
 
 
 def line_answer_error(answer: Column, expected: Column) -> Column:
-    """What is wrong with an answer that labels lines, null for a valid one; ``expected``: array of line numbers.
+    """``line_error`` of an answer as text; parse it into a column of its own first where there are many."""
+    return line_error(json_object(answer), expected)
 
-    Labels count in any case and padding; a line may be labelled twice, none may be left out or unknown.
+
+def line_error(v: Column, expected: Column) -> Column:
+    """What is wrong with an object that labels lines, null for a valid one; ``expected``: array of line numbers.
+
+    Items are checked one by one, and the first fault counts. Labels count in any case and padding; a line may be
+    labelled twice, none may be left out or unknown. Fixed values: the texts of the faults.
     """
-    v = json_object(answer)
     items = F.try_variant_get(v, "$.lines", "array<variant>")
-    numbers = F.transform(items, lambda x: F.try_variant_get(x, "$.line_number", "int"))
-    labels = F.transform(items, lambda x: F.upper(py_strip(F.try_variant_get(x, "$.label", "string"))))
-    unexpected = F.filter(numbers, lambda n: n.isNull() | ~F.array_contains(expected, n))
-    bad = F.filter(labels, lambda x: ~F.coalesce(x.isin(*LINE_LABELS), F.lit(False)))
-    missing = F.array_except(expected, F.filter(numbers, lambda n: n.isNotNull()))
+
+    def fault(x: Column) -> Column:
+        told, number = F.try_variant_get(x, "$.line_number", "string"), F.try_variant_get(x, "$.line_number", "int")
+        label = F.upper(py_strip(F.coalesce(F.try_variant_get(x, "$.label", "string"), F.lit("None"))))
+        return (
+            F.when(~F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)), "Each line classification must be an object.")
+            .when(~has_field(x, "line_number") | ~has_field(x, "label"), "Each line classification needs line_number and label.")
+            .when(told.isNull(), "int() argument must be a string, a bytes-like object or a real number, not 'NoneType'")
+            .when(number.isNull(), F.concat(F.lit("invalid literal for int() with base 10: '"), told, F.lit("'")))
+            .when(~F.array_contains(expected, number), F.concat(F.lit("Unexpected line_number: "), number.cast("string")))
+            .when(~label.isin(*LINE_LABELS), F.concat(F.lit("Invalid line label: "), label))
+        )
+
+    first = F.get(F.filter(F.transform(items, fault), lambda x: x.isNotNull()), F.lit(0))
+    missing = F.array_except(expected, F.transform(items, lambda x: F.try_variant_get(x, "$.line_number", "int")))
     return (
         F.when(v.isNull(), "No JSON object")
         .when(~has_field(v, "lines"), "Missing field: lines")
         .when(items.isNull(), "Field 'lines' must be a list.")
-        .when(F.exists(items, lambda x: ~has_field(x, "line_number") | ~has_field(x, "label")), "Each line classification needs line_number and label.")
-        .when(F.size(unexpected) > 0, F.concat(F.lit("Unexpected line_number: "), F.coalesce(F.get(unexpected, F.lit(0)).cast("string"), F.lit("None"))))
-        .when(F.size(bad) > 0, F.concat(F.lit("Invalid line label: "), F.coalesce(F.get(bad, F.lit(0)), F.lit("NONE"))))
+        .when(first.isNotNull(), first)
         .when(F.size(missing) > 0, F.concat(F.lit("Missing classifications for lines: ["), F.array_join(F.array_sort(missing).cast("array<string>"), ", "), F.lit("]")))
     )
 
 
 def line_answer_labels(answer: Column) -> Column:
-    """Array of (line_number, label) of a valid answer; of a line labelled twice the last counts in labels_by_line."""
-    items = F.try_variant_get(json_object(answer), "$.lines", "array<variant>")
+    """``line_labels`` of an answer as text."""
+    return line_labels(json_object(answer))
+
+
+def line_labels(v: Column) -> Column:
+    """Array of (line_number, label) of a valid object; of a line labelled twice the last counts in labels_by_line."""
     return F.transform(
-        items,
+        F.try_variant_get(v, "$.lines", "array<variant>"),
         lambda x: F.struct(F.try_variant_get(x, "$.line_number", "int").alias("line_number"), F.upper(py_strip(F.try_variant_get(x, "$.label", "string"))).alias("label")),
     )
 
 
 def task_answer(answer: Column) -> Column:
-    """Struct of the seven fields of a task answer, upper-cased and stripped, and what is wrong with it (error)."""
-    v = json_object(answer)
+    """``task_fields`` of an answer as text."""
+    return task_fields(json_object(answer))
+
+
+def task_fields(v: Column) -> Column:
+    """Struct of the seven fields of a task answer, upper-cased and stripped, and what is wrong with it (error). The texts of the faults."""
     up = {f: F.upper(py_strip(F.coalesce(field(v, f), F.lit("None")))) for f in TASK_FIELDS}
     flag = F.lower(F.coalesce(field(v, "is_code_generation"), F.lit("None")))
     lacking = F.filter(F.array(*[F.when(~has_field(v, f), F.lit(f)) for f in TASK_FIELDS]), lambda x: x.isNotNull())
@@ -103,7 +124,27 @@ def is_language_code(code: Column) -> Column:
 
 def prompt_with_payload(template: str, payload: Column) -> Column:
     """A template followed by a payload between triple angle brackets."""
-    return F.concat(F.lit(template + "\n\n<<<\n"), payload, F.lit("\n>>>"))
+    return F.concat(F.lit(template + "\n<<<\n"), payload, F.lit("\n>>>"))
+
+
+def _json_text(c: Column) -> Column:
+    # the text as JSON writes it, quotes included; a null one is null
+    one = F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("t")))
+    return one.substr(F.lit(6), F.length(one) - 6)
+
+
+def lines_payload(lines: Column) -> Column:
+    """Lines (line_number, text) as indented JSON, two blanks a level."""
+    items = F.transform(lines, lambda x: F.concat(F.lit('    {\n      "line_number": '), x["line_number"].cast("string"), F.lit(',\n      "text": '), _json_text(x["text"]), F.lit("\n    }")))
+    return F.when(F.size(lines) > 0, F.concat(F.lit('{\n  "lines": [\n'), F.array_join(items, ",\n"), F.lit("\n  ]\n}"))).otherwise('{\n  "lines": []\n}')
+
+
+def task_payload(text: Column, contains_code: Column, code_lines: Column) -> Column:
+    """The prose of a prompt and what is told of its code, as indented JSON."""
+    return F.concat(
+        F.lit('{\n  "natural_language_text": '), _json_text(text), F.lit(',\n  "metadata": {\n    "original_prompt_contained_code": '), F.coalesce(contains_code, F.lit(False)).cast("string"),
+        F.lit(',\n    "code_line_count": '), F.coalesce(code_lines, F.lit(0)).cast("string"), F.lit("\n  }\n}"),
+    )
 
 
 def http_chat(api_base: str, model: str, api_key: str | None = None, max_tokens: int = 2048, timeout: int = 180) -> Callable[[str], str]:

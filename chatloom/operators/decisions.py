@@ -131,8 +131,12 @@ def filtered(raw: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
     The decision is made on light columns; whole records meet it in a semi-join by place.
     """
-    meta = metadata(raw, policy)
-    kept = decide(meta, policy).where("keep_final").select(
+    return kept_records(raw, decide(metadata(raw, policy), policy))
+
+
+def kept_records(raw: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``filtered`` for decisions that were made, or read back, before."""
+    kept = decisions.where("keep_final").select(
         F.col("source_file").alias("_f"), F.col("source_row_position").alias("_p"),
         F.col("first_user_prompt_hash").alias("prompt_hash"), F.col("first_user_language_label").alias("_first_user_language_label"), F.col("removal_reason").alias("_filter_removal_reason"),
     )

@@ -36,6 +36,42 @@ def _walk(value) -> Iterator[dict]:
             stack.extend(reversed(x))
 
 
+#: Fields that may hold the text of a message, and its role, in the order in which they are tried.
+TEXT_FIELDS = ("content", "text", "value", "message", "prompt")
+ROLE_FIELDS = ("role", "from", "author", "speaker", "sender")
+LENIENT = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("role", "text")]))
+
+
+def _lenient(x) -> Iterator[tuple[str, str]]:
+    """(role, text) of whatever a conversation holds: objects and scalars are messages, lists are entered, null is none."""
+    stack = [x]
+    while stack:
+        m = stack.pop()
+        if isinstance(m, list):
+            stack.extend(reversed(m))
+        elif isinstance(m, dict):
+            # a null role reads as a word; only a field that is missing or blank leaves it to the next
+            role = next((r for f in ROLE_FIELDS if (r := str(m.get(f, "")).lower().strip())), "")
+            text = next((m[f].strip() for f in TEXT_FIELDS if isinstance(m.get(f), str)), None)
+            yield role, "".join(v.strip() for v in m.values() if isinstance(v, str)) if text is None else text
+        elif m is not None:
+            yield "", str(m).strip()
+
+
+@F.pandas_udf(LENIENT)
+def normalize_lenient(conversations: pd.Series) -> pd.Series:
+    """Messages of a conversation held as JSON text, in the exploratory sense; JSON text of a conversation within JSON is read, text that is no JSON is one message."""
+    out = []
+    for c in conversations:
+        for _ in range(2):
+            try:
+                c = json.loads(c) if isinstance(c, str) else c
+            except ValueError:
+                break
+        out.append([{"role": r, "text": t} for r, t in _lenient(c)])
+    return pd.Series(out, dtype=object)
+
+
 def _text(x) -> str | None:
     return x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False) if isinstance(x, (dict, list)) else str(x)
 

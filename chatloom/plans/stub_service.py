@@ -10,6 +10,7 @@ import json
 import re
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from uuid import uuid4
 
 from ..operators import annotate as rules
 
@@ -61,7 +62,7 @@ def language_of(text: str) -> str:
 def answer(prompt: str) -> dict:
     """The object that the service returns for a prompt about lines, or about task and language."""
     asked = payload(prompt)
-    if "line_number" in prompt and "text" in prompt and "natural_language_text" not in asked:
+    if '"line_number"' in prompt and '"text"' in prompt:
         return {"lines": [{"line_number": x["line_number"], "label": line_label(str(x["text"]))} for x in asked.get("lines", [])]}
     text = str(asked["natural_language_text"]) if "natural_language_text" in asked else prompt
     with_code = bool(asked.get("metadata", {}).get("original_prompt_contained_code")) if asked else "code" in prompt.lower()
@@ -84,7 +85,7 @@ class Handler(BaseHTTPRequestHandler):
 
     def do_GET(self) -> None:  # noqa: N802
         if self.path.rstrip("/") == "/v1/models":
-            self._send(200, {"object": "list", "data": [{"id": "rules", "object": "model"}]})
+            self._send(200, {"object": "list", "data": [{"id": "rules", "object": "model", "created": int(time.time()), "owned_by": "local"}]})
         else:
             self._send(404, {"error": "not found"})
 
@@ -96,20 +97,23 @@ class Handler(BaseHTTPRequestHandler):
             prompt = str(body["messages"][-1]["content"])
         except (ValueError, LookupError, TypeError):
             return self._send(400, {"error": "bad request"})
-        content = json.dumps(answer(prompt), ensure_ascii=False)
+        content = json.dumps(answer(prompt), ensure_ascii=False, indent=2)
         used = {"prompt_tokens": max(1, len(prompt.split())), "completion_tokens": max(1, len(content.split()))}
         choice = {"index": 0, "message": {"role": "assistant", "content": content}, "finish_reason": "stop"}
-        self._send(200, {"object": "chat.completion", "created": int(time.time()), "model": body.get("model", "rules"), "choices": [choice], "usage": used | {"total_tokens": sum(used.values())}})
+        made = {"id": f"chatcmpl-{uuid4().hex[:12]}", "object": "chat.completion", "created": int(time.time()), "model": body.get("model", "rules")}
+        self._send(200, made | {"choices": [choice], "usage": used | {"total_tokens": max(1, len(prompt.split()) + len(content.split()))}})
 
     def log_message(self, *args) -> None:
         pass
 
 
-def server(port: int = 0) -> ThreadingHTTPServer:
-    return ThreadingHTTPServer(("127.0.0.1", port), Handler)
+def server(port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+    return ThreadingHTTPServer((host, port), Handler)
 
 
 if __name__ == "__main__":
     p = argparse.ArgumentParser()
     p.add_argument("--port", type=int, default=8000)
-    server(p.parse_args().port).serve_forever()
+    p.add_argument("--host", default="127.0.0.1")
+    a = p.parse_args()
+    server(a.port, a.host).serve_forever()

@@ -25,21 +25,28 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "chatloo
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
+    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset and the master is local, as in tests, a temporary one.
+
+    A cluster without the setting raises: a folder of one machine is lost with it.
+    """
+    sc = spark.sparkContext
+    here = sc.getCheckpointDir()
+    if here:
+        return here
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    here = spark.sparkContext.getCheckpointDir()
-    if not here:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chatloom-"))
-        here = spark.sparkContext.getCheckpointDir()
-    return here
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="chatloom-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on at least as many partitions as the session has cores, for Python stages over one small file.
 
-    A scan of a corpus has many more splits than cores and passes unchanged, without a shuffle.
+    The reader makes splits of a core's share of the files down to ``spark.sql.files.openCostInBytes`` (4 MB) each, so
+    only tables below half the cores times that size, a few MB a core, are shuffled here; any larger scan passes unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
