@@ -70,6 +70,11 @@ def prompt_hash(c: Column) -> Column:
     return F.sha2(py_strip(F.coalesce(c, F.lit(""))), 256)
 
 
+def word_count(c: Column) -> Column:
+    """``len(str.split())``: runs of other signs than white space."""
+    return F.size(F.filter(F.split(c, f"[{WS}]+"), lambda w: w != ""))
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
     """Whether ``c`` contains one of ``words``; null is not."""
     out = F.lit(False)

@@ -41,11 +41,6 @@ def _nth(n: int):
     return _raw(lambda raw: raw.select(*PLACE, F.coalesce(nth_user(flat(F.col("conversation")), n)["content"], F.lit("")).alias("prompt")))
 
 
-def _file_range(raw: DataFrame) -> DataFrame:
-    names = raw.agg(F.min("source_file").alias("a"), F.max("source_file").alias("b"))
-    return raw.where((F.col("source_file") >= names.select("a").scalar()) & (F.col("source_file") <= names.select("b").scalar())).select(*PLACE)
-
-
 def _shards(raw: DataFrame) -> DataFrame:
     return dec.shards(_decided(raw).where("keep_final"), SHARD)
 
@@ -109,14 +104,6 @@ def _tasks(raw: DataFrame) -> DataFrame:
     return m.select("row_id", "msg_pos", task.alias("task_category"), task.isin(*annotate.GENERATING).alias("is_code_generation"), annotate.language_guess(F.col("t")).alias("detected_language"))
 
 
-def _answer_errors(spark: SparkSession, d: str) -> DataFrame:
-    calls = table(spark, d, "call_log")
-    numbers = F.try_variant_get(answers.json_object(F.col("answer")), "$.lines", "array<variant>")
-    expected = F.coalesce(F.array_distinct(F.filter(F.transform(numbers, lambda x: F.try_variant_get(x, "$.line_number", "int")), lambda n: n.isNotNull())), F.array().cast("array<int>"))
-    error = F.when(F.col("call_kind") == "lines", answers.line_answer_error(F.col("answer"), expected)).otherwise(answers.task_answer(F.col("answer"))["error"])
-    return calls.select("call_kind", F.coalesce(error, F.lit("valid")).alias("problem")).groupBy("call_kind", "problem").agg(F.count("*").alias("n_calls"))
-
-
 def _answer_objects(spark: SparkSession, d: str) -> DataFrame:
     calls = table(spark, d, "call_log")
     return calls.select("call_kind", F.col("answer").isNull().alias("no_answer"), answers.json_object(F.col("answer")).isNotNull().alias("has_object")).groupBy("call_kind", "no_answer", "has_object").agg(F.count("*").alias("n_calls"))
@@ -162,7 +149,6 @@ QUERIES = {
     "first_user_prompt": _nth(0),
     "second_user_prompt": _nth(1),
     "head_per_file": _raw(lambda raw: raw.where(F.col("source_row_position") < HEAD).select(*PLACE)),
-    "file_range": _raw(_file_range),
     "shard_assignment": _raw(_shards),
     "keep_rows_semi_join": _semi,
     "metadata_inner_join": _inner,
@@ -196,7 +182,6 @@ QUERIES = {
     "message_tasks": _raw(_tasks),
     "annotated_records": _raw(_annotated),
     "answer_objects": _answer_objects,
-    "answer_errors": _answer_errors,
     "payload_messages": _payload_messages,
     "payload_paths": lambda spark, d: extract.json_paths(table(spark, d, "raw_payloads"), "payload"),
     "record_hashes": lambda spark, d: table(spark, d, "raw_payloads").select("payload_id", extract.stable_hash("payload").alias("hash")),
@@ -371,7 +356,6 @@ count(DISTINCT first_user_prompt_hash) AS unique_prompt_hashes_before_filtering,
     "first_user_prompt": f"WITH {_META} SELECT {_PLACES}, coalesce(u[1].content, '') AS prompt FROM used",
     "second_user_prompt": f"WITH {_META} SELECT {_PLACES}, coalesce(u[2].content, '') AS prompt FROM used",
     "head_per_file": f"SELECT {_PLACES} FROM raw_corpus WHERE source_row_position < {HEAD}",
-    "file_range": f"SELECT {_PLACES} FROM raw_corpus WHERE source_file >= (SELECT min(source_file) FROM raw_corpus) AND source_file <= (SELECT max(source_file) FROM raw_corpus)",
     "shard_assignment": _decision_sql() + f"SELECT {_PLACES}, CAST(floor((row_number() OVER (ORDER BY {_PLACES}) - 1) / {SHARD}) AS BIGINT) AS shard_no FROM decisions WHERE keep_final",
     "keep_rows_semi_join": "SELECT row_id, model, turn FROM raw_corpus r WHERE EXISTS (SELECT 1 FROM filter_decisions f WHERE f.keep_final AND f.source_file = r.source_file AND f.source_row_position = r.source_row_position)",
     "metadata_inner_join": f"SELECT row_id, first_user_prompt_hash, removal_reason FROM raw_corpus JOIN (SELECT DISTINCT {_PLACES}, first_user_prompt_hash, removal_reason FROM filter_decisions WHERE keep_final) USING ({_PLACES})",
