@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import credentials, formatting, language, markup, packing, pairs, pii, tokens, truncation
+from . import credentials, formatting, language, markup, packing, pages, pairs, pii, tokens, truncation
 
 
 def _raw(run):
@@ -30,6 +30,7 @@ QUERIES = {
     "p1_prompt_groups": _raw(_prompt_groups),
     "p2_found": _raw(markup.found_rows),
     "p2_clean": _raw(markup.clean_rows),
+    "p2_differences": _raw(pages.message_differences),
     "p3_found": _raw(credentials.found_rows),
     "p3_redacted": _raw(credentials.redacted_rows),
     "p5_found": _two(language.found_rows, "enriched_records"),
