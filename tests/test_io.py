@@ -68,8 +68,12 @@ def test_guard_and_shards(spark, folder):
         sinks.guard(spark, f"{folder}/raw/", True, reads=f"{folder}/raw")
     df = corpus.scan(spark, f"{folder}/raw")
     assert sinks.write_shards(df, f"{folder}/shards", 5)
-    sizes = [spark.read.parquet(p).count() for p in corpus.files(spark, f"{folder}/shards")]
-    assert sum(sizes) == 12 and max(sizes) <= 5
+    written = corpus.files(spark, f"{folder}/shards")
+    assert [p.rpartition("/")[2] for p in written] == ["part_000.parquet", "part_001.parquet", "part_002.parquet"]
+    assert [spark.read.parquet(p).count() for p in written] == [5, 5, 2]
+    again = corpus.scan(spark, f"{folder}/shards").orderBy("source_file", "source_row_position").select("conversation_id").collect()
+    assert again == df.orderBy("source_file", "source_row_position").select("conversation_id").collect()
+    assert sinks.write_shards(df.limit(3), f"{folder}/shards", 5) and [p.rpartition("/")[2] for p in corpus.files(spark, f"{folder}/shards")] == ["part_000.parquet"]
     assert not sinks.write_shards(df.limit(0), f"{folder}/none", 5)
     assert not (folder / "none").exists()
 
@@ -240,3 +244,120 @@ def test_stub_service_refuses(spark):
             urllib.request.urlopen(url, data)
         assert e.value.code == status
     server.shutdown()
+
+
+def test_all_labels_are_in_the_summary(spark, raw_of, tmp_path):
+    raw = raw_of([[("user", f"prompt {i}", f"tongue{i}")] for i in range(10_001)])
+    sinks.write_report(dec.decide(dec.metadata(raw)), f"{tmp_path}/r", {"input_dir": "x"})
+    told = json.loads((tmp_path / "r/filter_summary.json").read_text())
+    assert len(told["language_label_counts"]) == 10_001 and told["input_dir"] == "x" and told["total_records"] == 10_001
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder(spark):
+    from types import SimpleNamespace
+
+    from chatloom.session import checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda d: None)
+    unset = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(unset)
+    told = []
+    named = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: told[-1] if told else None, master="spark://host:7077", setCheckpointDir=told.append), conf=SimpleNamespace(get=lambda k, d=None: "/shared"))
+    assert checkpoint_dir(named) == "/shared" == told[0]
+    assert checkpoint_dir(spark)
+
+
+def test_items_are_checked_in_order(spark):
+    items = [{"line_number": 9, "label": "CODE"}, {"line_number": 1, "label": "X"}]
+    assert problem(spark, json.dumps({"lines": items})) == "Unexpected line_number: 9"
+    assert problem(spark, json.dumps({"lines": items[::-1]})) == "Invalid line label: X"
+    assert problem(spark, json.dumps({"lines": [3, *items]})) == "Each line classification must be an object."
+    assert problem(spark, json.dumps({"lines": [{"line_number": "x", "label": "CODE"}]})) == "invalid literal for int() with base 10: 'x'"
+    assert problem(spark, json.dumps({"lines": [{"line_number": None, "label": "CODE"}]})).startswith("int() argument must be")
+    assert problem(spark, json.dumps({"other": {"lines": []}})) == "Missing field: lines"
+    assert problem(spark, json.dumps({"lines": [{"line_number": "1", "label": "code"}, {"line_number": 2, "label": "EMPTY"}]})) is None
+
+
+def test_payloads_are_those_of_the_json_module(spark):
+    texts = ['say "hi"\t\\ {x} é 😀', "", "plain"]
+    df = spark.createDataFrame([([(i + 1, t) for i, t in enumerate(texts)], texts[0], True, 2)], "l array<struct<line_number:int,text:string>>, t string, c boolean, n int")
+    row = df.select(answers.lines_payload(F.col("l")).alias("a"), answers.task_payload(F.col("t"), F.col("c"), F.col("n")).alias("b"), answers.lines_payload(F.slice("l", 1, 0)).alias("e")).first()
+    assert row["a"] == json.dumps({"lines": [{"line_number": i + 1, "text": t} for i, t in enumerate(texts)]}, ensure_ascii=False, indent=2)
+    assert row["b"] == json.dumps({"natural_language_text": texts[0], "metadata": {"original_prompt_contained_code": True, "code_line_count": 2}}, ensure_ascii=False, indent=2)
+    assert row["e"] == json.dumps({"lines": []}, indent=2)
+
+
+def test_pipeline_with_a_service(spark, folder):
+    from chatloom.plans import stub_service
+
+    server = stub_service.server()
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/v1"
+    run = ["pipeline", "--input-dir", f"{folder}/raw", "--output-dir", f"{folder}/out", "--rows-per-output-file", "5", "--api-base", base, "--retries", "0", "--max-tokens-task-lang", "64"]
+    jobs.main(run)
+    kept = corpus.scan(spark, f"{folder}/out/filtered")
+    columns = [c for c in annotate.RECORD if c not in ("overall_error", "row_index")]
+    served = spark.read.json(f"{folder}/out/annotated").select(*columns)
+    ruled = annotate.annotated(kept).select(*columns)
+    assert served.count() == 12 and served.exceptAll(ruled).count() == ruled.exceptAll(served).count() == 0
+    jobs.main([*run, "--skip-filtering"])
+    assert spark.read.json(f"{folder}/out/annotated").count() == 12
+    with pytest.raises(RuntimeError, match="Step failed: filter"):
+        jobs.main(run)
+    server.shutdown()
+
+
+def test_calls_are_bounded(spark, raw_of, tmp_path):
+    import os
+    import time
+
+    def call(prompt):
+        mine = tmp_path / f"run-{os.getpid()}-{threading.get_ident()}-{time.monotonic_ns()}"
+        mine.touch()
+        (tmp_path / f"seen-{len(list(tmp_path.glob('run-*')))}").touch()
+        time.sleep(0.02)
+        mine.unlink()
+        return json.dumps({"lines": [{"line_number": 1, "label": "CODE"}]} if prompt.startswith("label") else TASK)
+
+    raw = raw_of([[("user", f"prompt {i}", "en")] for i in range(40)])
+    assert jobs.annotate_by_service(raw, call, "label", "task", retries=0, workers=2).count() == 40
+    assert max(int(p.name.removeprefix("seen-")) for p in tmp_path.glob("seen-*")) <= 2
+
+
+def test_audit_tables(spark, folder):
+    jobs.main(["audit", "--input-dir", f"{folder}/raw", "--output-dir", f"{folder}/audit"])
+    names = {p.name for p in (folder / "audit").glob("*.csv")}
+    assert len(names) == 16
+    steps = {r["step"]: r["n_after"] for r in spark.read.option("header", True).csv(f"{folder}/audit/filtering_steps_summary.csv").collect()}
+    assert steps["single_turn"] == "12"
+    chart = (folder / "audit/figures/filtering_funnel.svg").read_text()
+    assert chart.startswith("<svg") and "single_turn" in chart
+
+
+def test_arrow_and_single_files(spark, folder):
+    import pyarrow as pa
+
+    df = corpus.scan(spark, f"{folder}/raw").select("conversation_id", "turn")
+    sinks.write_arrow(df, f"{folder}/arrow")
+    tables = [pa.ipc.open_file(p).read_all() for p in (folder / "arrow").glob("*.arrow")]
+    assert sum(t.num_rows for t in tables) == 12
+    sinks.write_one_parquet(df, f"{folder}/one.parquet")
+    assert (folder / "one.parquet").is_file() and spark.read.parquet(f"{folder}/one.parquet").count() == 12
+
+
+def test_detector(spark):
+    from chatloom.functions.language import detect
+
+    texts = ["The loop is not the reason for that", "Der Fehler ist nicht in der Schleife und wird", "El problema es que la función no está", "Le problème est dans la boucle et pas", "Il problema è che non sono nel", "O erro não está no laço mas também", "zzz qqq", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(detect(F.col("t"))).collect()] == ["en", "de", "es", "fr", "it", "pt", "detection_error", "detection_error"]
+
+
+def test_lenient_messages(spark):
+    from chatloom.operators import extract
+
+    given = [{"from": "Human ", "text": " a "}, [{"role": None, "author": "x", "value": "b"}, {"role": "", "sender": "Bot", "message": 3, "extra": "c"}], "plain", 7, None, [[]]]
+    rows = spark.createDataFrame([(json.dumps(given),), (json.dumps(json.dumps(given[:1])),), ("no json",), (None,)], "c string").select(extract.normalize_lenient("c").alias("m")).collect()
+    assert [tuple(m) for m in rows[0]["m"]] == [("human", "a"), ("none", "b"), ("bot", "Botc"), ("", "plain"), ("", "7")]
+    assert [tuple(m) for m in rows[1]["m"]] == [("human", "a")] and [tuple(m) for m in rows[2]["m"]] == [("", "no json")] and rows[3]["m"] == []
