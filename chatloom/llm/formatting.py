@@ -69,7 +69,7 @@ def collapse(df: DataFrame, id_column: str, key: Column, share: float = HOT_SHAR
     table gives no groups. Other columns of ``df`` are not read, whatever their names.
     """
     rows = keyed(df, id_column, key)
-    return _groups(rows, F.broadcast(hot_keys(rows, share)), salts).withColumnRenamed("_key", "key")
+    return _groups(rows, F.broadcast(hot_keys(rows, share).checkpoint()), salts).withColumnRenamed("_key", "key")
 
 
 def _groups(rows: DataFrame, hot: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -89,8 +89,8 @@ def copies(df: DataFrame, id_column: str, key: Column, share: float = HOT_SHARE)
     is gathered in one task; those of other groups in a join on the key.
     """
     rows = keyed(df, id_column, key)
-    hot = F.broadcast(hot_keys(rows, share))
-    groups = _groups(rows, hot).where("n_copies > 1").select("_key", "first_id")
+    hot = F.broadcast(hot_keys(rows, share).checkpoint())  # counted once, at most 1/share rows
+    groups = _groups(rows, hot).where("n_copies > 1").select("_key", "first_id").checkpoint()  # aggregated once for both joins
     of_hot = rows.join(hot, "_key", "left_semi").join(F.broadcast(groups.join(hot, "_key", "left_semi")), "_key")
     of_rest = rows.join(hot, "_key", "left_anti").join(groups.join(hot, "_key", "left_anti"), "_key")
     both = of_hot.unionByName(of_rest).where("_id <> first_id")
