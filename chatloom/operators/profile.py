@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.pytext import is_blank, is_missing, py_strip
 from .messages import flat, messages
+from .skew import heavy_keys
 
 EXPECTED = ("conversation_id", "model", "conversation", "turn", "snippet_turns")
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -34,20 +35,41 @@ def missing_values(df: DataFrame) -> DataFrame:
     return n.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
+def _named(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(name, v): the named values of every row, so that one scan and one grouping serve all of them."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("string").alias("v")) for k, v in values.items()])).alias("x")).select("x.*")
+
+
+def _for_all(df: DataFrame, names: list[str], told: DataFrame) -> DataFrame:
+    # a name without rows, as in an empty table, has zeros
+    known = df.sparkSession.createDataFrame([(n,) for n in names], "_name string")
+    return known.join(told, F.col("_name") == F.col("name"), "left")
+
+
 def cardinality(df: DataFrame, columns: list[str], duplicates_of: str | None = None) -> DataFrame:
     """(column_name, n_distinct, n_null, n_duplicate): the last for one column only, rows less distinct values.
 
-    Each distinct count is a grouping of its own that is combined before its shuffle.
+    The table is read once; values are counted by one grouping that is combined before its shuffle.
     """
-    out = None
-    for c in columns:
-        values = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
-        one = values.agg(
-            F.lit(c).alias("column_name"), F.count("v").alias("n_distinct"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
-            (F.coalesce(F.sum("n"), F.lit(0)) - F.count("v") if c == duplicates_of else F.lit(None).cast("long")).alias("n_duplicate"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    values = _named(df, {c: F.col(c) for c in columns}).groupBy("name", "v").agg(F.count("*").alias("n"))
+    told = values.groupBy("name").agg(F.count("v").alias("d"), F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("e"), F.sum("n").alias("n"))
+    zero = F.lit(0).cast("long")
+    duplicate = F.when(F.col("_name") == duplicates_of, F.coalesce("n", zero) - F.coalesce("d", zero)) if duplicates_of else F.lit(None).cast("long")
+    return _for_all(df, columns, told).select(F.col("_name").alias("column_name"), F.coalesce("d", zero).alias("n_distinct"), F.coalesce("e", zero).alias("n_null"), duplicate.alias("n_duplicate"))
+
+
+def memory_profile(df: DataFrame) -> DataFrame:
+    """(column_name, column_type, n_filled, n_bytes): non-null values of each column and the bytes they hold: UTF-8 of texts, JSON of nested values, the width of numbers."""
+    widths = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+
+    def size(c: str, t: str) -> Column:
+        col = F.col(f"`{c}`")
+        held = F.octet_length(col) if t in ("string", "binary") else F.octet_length(F.to_json(col)) if t.startswith(("array", "map", "struct")) else F.lit(widths.get(t, 8))
+        return F.coalesce(F.sum(F.when(col.isNotNull(), held)), F.lit(0)).cast("long")
+
+    n = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(df.columns)], *[size(c, t).alias(f"_b{i}") for i, (c, t) in enumerate(df.dtypes)])
+    cells = [F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("column_type"), F.col(f"_n{i}").alias("n_filled"), F.col(f"_b{i}").alias("n_bytes")) for i, (c, t) in enumerate(df.dtypes)]
+    return n.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
 def duplicate_groups(df: DataFrame, key: Column, null_counts: bool = False) -> DataFrame:
@@ -59,24 +81,26 @@ def duplicate_groups(df: DataFrame, key: Column, null_counts: bool = False) -> D
 
 
 def duplicate_summary(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """(check_name, n_groups, n_rows) for each named key; null keys count, as hashes of null do."""
-    out = None
-    for name, key in checks.items():
-        g = duplicate_groups(df, key, null_counts=True)
-        one = g.agg(F.lit(name).alias("check_name"), F.count("*").alias("n_groups"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(check_name, n_groups, n_rows) for each named key; null keys count, as hashes of null do. The table is read once for all of them."""
+    groups = _named(df, checks).groupBy("name", "v").agg(F.count("*").alias("n")).where("n > 1")
+    told = groups.groupBy("name").agg(F.count("*").alias("g"), F.sum("n").alias("n"))
+    zero = F.lit(0).cast("long")
+    return _for_all(df, list(checks), told).select(F.col("_name").alias("check_name"), F.coalesce("g", zero).alias("n_groups"), F.coalesce("n", zero).alias("n_rows"))
 
 
 def duplicate_records(df: DataFrame, key: str, place: list[str]) -> DataFrame:
     """All members of groups of more than one: (key_value, *place, n_rows).
 
-    Groups of one are dropped after counts that were combined before their shuffle; members then meet their
-    group's size in a join, which the engine may split where a key is hot; no window holds a group in one task.
+    Groups of one are dropped after counts that were combined before their shuffle. Rows of heavy keys, of which a
+    share bounds the number, meet their group's size in a broadcast join where they lie; all others in a join on the key.
     """
-    groups = duplicate_groups(df, F.col(key)).select(F.col("key_value").alias("_k"), "n_rows")
+    groups = duplicate_groups(df, F.col(key))
+    heavy = F.broadcast(groups.join(F.broadcast(heavy_keys(df, key).select("key_value")), "key_value", "left_semi").select(F.col("key_value").alias("_k"), "n_rows"))
     rows = df.where(F.col(key).isNotNull() & (F.length(key) > 0)).select(F.col(key).alias("key_value"), *place)
-    return rows.join(groups, F.col("key_value") == F.col("_k")).select("key_value", *place, "n_rows")
+    same = F.col("key_value") == F.col("_k")
+    of_heavy = rows.join(heavy, same)
+    of_rest = rows.join(heavy, same, "left_anti").join(groups.select(F.col("key_value").alias("_k"), "n_rows"), same)
+    return of_heavy.unionByName(of_rest).select("key_value", *place, "n_rows")
 
 
 def record_hash(df: DataFrame) -> Column:

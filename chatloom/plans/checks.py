@@ -145,6 +145,7 @@ QUERIES = {
     "short_user_prompts": c._raw(lambda raw: audit.short_user_prompts(raw, "row_id")),
     "label_failures": c._raw(lambda raw: audit.label_failures(raw, "row_id")),
     "filter_funnel_detected": c._raw(_rounded_funnel),
+    "memory_profile": c._raw(lambda raw: profile.memory_profile(raw.drop("conversation"))),
     "example_records": c._raw(lambda raw: audit.examples(raw).select(*PLACE)),
     "snippet_arrays": c._raw(_snippets),
     "word_counts": c._raw(_words),
@@ -233,6 +234,13 @@ count(*) FILTER (WHERE removal_reason = 'KEPT') AS "KEPT", count(*) FILTER (WHER
     "written_log": _WRITTEN_LOG,
     "written_exports": "SELECT kind, conversation_id, turn, prompt_hash FROM filtered_corpus, (VALUES ('parquet'), ('jsonl'), ('one')) AS k(kind)",
     "duplicate_full_records": "SELECT 'record' AS check_name, count(*) AS n_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows FROM (SELECT count(*) AS n FROM raw_corpus GROUP BY conversation_id, model, conversation, turn, snippet_turns HAVING count(*) > 1)",
+    "memory_profile": " UNION ALL ".join(
+        f"SELECT '{k}' AS column_name, '{t}' AS column_type, count({k}) AS n_filled, CAST(coalesce(sum({b}), 0) AS BIGINT) AS n_bytes FROM raw_corpus"
+        for k, t, b in (
+            *[(k, "string", f"strlen({k})") for k in ("source_file", "conversation_id", "model")], ("row_id", "bigint", "CASE WHEN row_id IS NOT NULL THEN 8 END"), ("source_row_position", "bigint", "CASE WHEN source_row_position IS NOT NULL THEN 8 END"),
+            ("turn", "int", "CASE WHEN turn IS NOT NULL THEN 4 END"), ("snippet_turns", "array<int>", "strlen(CAST(to_json(snippet_turns) AS VARCHAR))"),
+        )
+    ),
     "example_records": f"SELECT {_PLACES} FROM raw_corpus ORDER BY ALL LIMIT 3",
     "snippet_arrays": "SELECT row_id, CASE WHEN snippet_turns IS NOT NULL THEN coalesce(array_to_string(list_filter(snippet_turns, lambda x: x IS NOT NULL), ','), '') END AS snippets FROM raw_corpus",
     "word_counts": f"SELECT row_id, CAST(msg_pos AS INTEGER) AS msg_pos, CAST(greatest(1, len(list_filter(regexp_split_to_array(coalesce(x.content, ''), {_q(c._S + '+')}), lambda w: w <> ''))) AS INTEGER) AS n_tokens FROM {c._MSG}",
