@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pytext import contains_any, is_blank, py_strip, split_lines
+from ..functions.pytext import is_blank, py_strip, split_lines
+from ..functions.rules import Rule, column
 from .decisions import row_key
 from .messages import flat, nth_user
 
@@ -53,21 +54,31 @@ _ASSIGNMENT = rf"{_WORD}{_SPACE}*={_SPACE}*[^\n]"
 _FILE = rf"(?<!{_WORD})[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\-./]*\.({'|'.join(CODE_FILES)})(?!{_WORD})"
 
 
-def looks_like_code(stripped: Column) -> Column:
-    """Whether a stripped line counts as code: how it starts, a marker in it, an assignment, a file name."""
-    lower = F.lower(stripped)
-    start = F.lit(False)
-    for s in CODE_STARTS:
-        start = start | stripped.startswith(s)
-    assigned = stripped.rlike(_ASSIGNMENT) & ~stripped.endswith("?")
-    named = lower.rlike(_FILE)
-    return F.coalesce(start | contains_any(lower, list(CODE_MARKERS)) | assigned | named, F.lit(False))
+#: The rules of the annotation in the order in which they are tried. Python's word and space signs are spelt out for Java.
+LINE_RULES = (
+    Rule("EMPTY", equals=("",)),
+    Rule("CODE", starts=CODE_STARTS),
+    Rule("CODE", contains=CODE_MARKERS),
+    Rule("CODE", matches=_ASSIGNMENT, like=r"\w+\s*=\s*.+", open_end="?"),
+    Rule("CODE", matches=_FILE, like=rf"\b[\w\-./]+\.({'|'.join(CODE_FILES)})\b", lower=True),
+)
+TASK_RULES = (
+    Rule("AMBIGUOUS", equals=("",)),
+    Rule("OTHER", equals=GREETINGS),
+    *(Rule(task, contains=words) for task, words in TASK_WORDS),
+    Rule("BUG_FIXING", contains=TASK_HELP, only_if=True),
+)
+LANGUAGE_RULES = (
+    Rule("UNKNOWN", equals=("",)),
+    Rule("ZH", matches="[\\x{4e00}-\\x{9fff}]", like="[\u4e00-\u9fff]"),
+    Rule("JA", matches="[\\x{3040}-\\x{30ff}]", like="[\u3040-\u30ff]"),
+    *(Rule(lang, contains=words) for lang, words in LANGUAGE_WORDS),
+)
 
 
 def line_label(text: Column) -> Column:
     """EMPTY, CODE or NATURAL_LANGUAGE."""
-    s = py_strip(text)
-    return F.when(s == "", "EMPTY").when(looks_like_code(s), "CODE").otherwise("NATURAL_LANGUAGE")
+    return column(LINE_RULES, "NATURAL_LANGUAGE", text)
 
 
 def breaks_payload(text: Column) -> Column:
@@ -156,20 +167,12 @@ def separated(asked: DataFrame, batch: int = LINE_BATCH) -> DataFrame:
 
 def task_category(text: Column, contains_code: Column) -> Column:
     """The task that a text asks for, by the first group of words that occurs in it."""
-    t = py_strip(F.lower(text))
-    out = F.when(t == "", "AMBIGUOUS").when(t.isin(*GREETINGS), "OTHER")
-    for task, words in TASK_WORDS:
-        out = out.when(contains_any(t, list(words)), task)
-    return out.when(contains_code & contains_any(t, list(TASK_HELP)), "BUG_FIXING").otherwise("OTHER")
+    return column(TASK_RULES, "OTHER", text, contains_code)
 
 
 def language_guess(text: Column) -> Column:
     """The language of a text, by script and then by the first group of words that occurs in it."""
-    s = py_strip(text)
-    out = F.when(s == "", "UNKNOWN").when(s.rlike("[\\x{4e00}-\\x{9fff}]"), "ZH").when(s.rlike("[\\x{3040}-\\x{30ff}]"), "JA")
-    for lang, words in LANGUAGE_WORDS:
-        out = out.when(contains_any(F.lower(s), list(words)), lang)
-    return out.otherwise("EN")
+    return column(LANGUAGE_RULES, "EN", text)
 
 
 def task_language(rows: DataFrame) -> DataFrame:

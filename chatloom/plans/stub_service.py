@@ -12,11 +12,11 @@ import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from uuid import uuid4
 
+from ..functions.rules import value
 from ..operators import annotate as rules
 
+#: Fixed value: where the payload of a prompt lies.
 _PAYLOAD = re.compile(r"<<<\s*(\{.*?\})\s*>>>", re.S)
-_ASSIGNED = re.compile(r"\w\s*=\s*.")
-_FILE = re.compile(rf"\b\w[\w./-]*\.(?:{'|'.join(rules.CODE_FILES)})\b")
 
 
 def payload(prompt: str) -> dict:
@@ -28,45 +28,14 @@ def payload(prompt: str) -> dict:
         return {}
 
 
-def line_label(text: str) -> str:
-    s = text.strip()
-    if not s:
-        return "EMPTY"
-    low = s.lower()
-    code = s.startswith(rules.CODE_STARTS) or any(w in low for w in rules.CODE_MARKERS) or (_ASSIGNED.search(s) and not s.endswith("?")) or _FILE.search(low)
-    return "CODE" if code else "NATURAL_LANGUAGE"
-
-
-def task_of(text: str, with_code: bool) -> str:
-    t = text.lower().strip()
-    if not t:
-        return "AMBIGUOUS"
-    if t in rules.GREETINGS:
-        return "OTHER"
-    for task, words in rules.TASK_WORDS:
-        if any(w in t for w in words):
-            return task
-    return "BUG_FIXING" if with_code and any(w in t for w in rules.TASK_HELP) else "OTHER"
-
-
-def language_of(text: str) -> str:
-    s = text.strip()
-    if not s:
-        return "UNKNOWN"
-    for code, script in (("ZH", "[一-鿿]"), ("JA", "[぀-ヿ]")):
-        if re.search(script, s):
-            return code
-    return next((lang for lang, words in rules.LANGUAGE_WORDS if any(w in s.lower() for w in words)), "EN")
-
-
 def answer(prompt: str) -> dict:
-    """The object that the service returns for a prompt about lines, or about task and language."""
+    """The object that the service returns for a prompt about lines, or about task and language, by the rule tables of the annotation."""
     asked = payload(prompt)
     if '"line_number"' in prompt and '"text"' in prompt:
-        return {"lines": [{"line_number": x["line_number"], "label": line_label(str(x["text"]))} for x in asked.get("lines", [])]}
-    text = str(asked["natural_language_text"]) if "natural_language_text" in asked else prompt
+        return {"lines": [{"line_number": x["line_number"], "label": value(rules.LINE_RULES, "NATURAL_LANGUAGE", str(x["text"]))} for x in asked.get("lines", [])]}
+    text = str(asked.get("natural_language_text", prompt))
     with_code = bool(asked.get("metadata", {}).get("original_prompt_contained_code")) if asked else "code" in prompt.lower()
-    task, language = task_of(text, with_code), language_of(text)
+    task, language = value(rules.TASK_RULES, "OTHER", text, with_code), value(rules.LANGUAGE_RULES, "EN", text)
     sure = "LOW" if task == "AMBIGUOUS" else "HIGH"
     return {
         "task_category": task, "task_confidence": sure, "is_code_generation": task in rules.GENERATING, "code_generation_confidence": sure,
