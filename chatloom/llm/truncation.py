@@ -191,14 +191,22 @@ def _hashes(codes: np.ndarray, slots: np.ndarray | None = None) -> Iterator[tupl
     With ``slots`` only contexts whose slot is set; a longer context is asked for only together with its ends.
     """
     codes = codes.astype(np.uint64)
-    ends, h, done = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 0
+    ends, h, done = np.arange(len(codes)), np.zeros(0, np.uint64), 0
     for order in reversed(ORDERS):
-        keep = ends >= order - 1
-        ends, h = (ends, h) if keep.all() else (ends[keep], h[keep])
         with np.errstate(over="ignore"):
-            for k in range(done, order):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + codes[ends - k] + np.uint64(1)
-                h ^= h >> np.uint64(29)
+            if not done:  # all places at once, by slices
+                ends, h = ends[order - 1 :], np.zeros(max(0, len(codes) - order + 1), np.uint64)
+                for k in range(order):
+                    h *= np.uint64(0x9E3779B97F4A7C15)
+                    h += codes[order - 1 - k : max(0, len(codes) - k)]
+                    h += np.uint64(1)
+                    h ^= h >> np.uint64(29)
+            else:
+                keep = ends >= order - 1
+                ends, h = (ends, h) if keep.all() else (ends[keep], h[keep])
+                for k in range(done, order):
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + codes[ends - k] + np.uint64(1)
+                    h ^= h >> np.uint64(29)
         done = order
         if slots is not None:
             keep = slots[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
