@@ -92,6 +92,8 @@ _LST = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]\n]*\])?(?:\
 
 #: Without one of these signs a text holds no construct of any markup; marked lines start with one of _MARKS.
 _SIGN = re.compile(r"[`*~#<>&\\$|{}\[\]=]|(?<!\w)_|''|//|__|^\s*(?:[-+]|\d{1,3}[.)])\s|^[;:]|^\s*h[1-6]\.|^\s*bq\.|-{3}", re.M)
+#: The same for the engine, where texts without a sign are passed over; it may let more texts through, never fewer.
+_ENGINE_SIGN = r"(?m)[`*~#<>&\\$|{}\[\]=]|(?<!\w)_|''|//|__|^[\s\p{Z}]*(?:[-+]|\p{Nd}{1,3}[.)])[\s\p{Z}]|^[;:]|^[\s\p{Z}]*(?:h[1-6]|bq)\.|-{3}"
 _MARKS = frozenset("#>-*+|:;[={}!_~0123456789h'b\t")
 
 
@@ -304,12 +306,14 @@ def clean(text: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", t).strip("\n")
 
 
-def tag(raw: DataFrame, with_text: bool = False) -> DataFrame:
-    """(row_id, msg_pos, markups array) for every message, with its clean text where asked.
+def tag(raw: DataFrame, with_text: bool = False, marked_only: bool = False) -> DataFrame:
+    """(row_id, msg_pos, markups array) for every message, with its clean text where asked; ``marked_only``: of those with a sign of markup.
 
     A pass over each message where it lies; nothing is shuffled. Null content gives no markup and null text.
     """
     rows = messages(raw, "row_id").select(F.col("row_id").cast("long").alias("row_id"), "msg_pos", "content")
+    if marked_only:
+        rows = rows.where(F.col("content").rlike(_ENGINE_SIGN))
     schema = "row_id long, msg_pos int, markups array<string>" + (", clean_text string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +329,7 @@ def tag(raw: DataFrame, with_text: bool = False) -> DataFrame:
 
 def found_rows(raw: DataFrame) -> DataFrame:
     """(row_id, msg_pos, markup): one row per message and markup; repeated rows come out once."""
-    return tag(raw).select("row_id", "msg_pos", F.explode("markups").alias("markup")).distinct()
+    return tag(raw, marked_only=True).select("row_id", "msg_pos", F.explode("markups").alias("markup")).distinct()
 
 
 def clean_rows(raw: DataFrame) -> DataFrame:

@@ -432,3 +432,10 @@ def test_samples_are_bounded_in_characters(raw_of):
 def test_a_prompt_without_an_answer_is_an_empty_pair(raw_of):
     raw = raw_of([[("user", "Why does it stop?", "en")], [("User ", "One?", "en"), ("user", "Two?", "en"), ("assistant", PROSE, "en")], [("user", " ", "en")], [("assistant", PROSE, "en")], None, []])
     assert sorted(tuple(r) for r in pairs.found_rows(raw).collect()) == [(0, 0, "empty"), (1, 0, "empty")]
+
+
+def test_the_engine_passes_over_no_marked_text(raw_of):
+    texts = [t for t, want in MARKED if t and want] + ["é_x_ y", " - item\n", "٣. Punkt", "a # b", "h2. Head", "x\n;term"]
+    raw = raw_of([[("user", t, "en"), ("assistant", PROSE, "en")] for t in texts])
+    want = {(i, m) for i, t in enumerate(texts) for m in markup.found(t)}
+    assert {(r["row_id"], r["markup"]) for r in markup.found_rows(raw).collect()} == want
