@@ -146,7 +146,7 @@ class Merger:
         self.of_byte, self.reach = np.array(of_byte, np.int32), reach
         self.numerals, self.odd = _numerals(), regex.compile(SPLIT).findall
         # whatever is in memory is bounded by RUN_BYTES: nothing is spilled to a folder of the machine
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("merge_rows", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self._forget()
