@@ -16,6 +16,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "chatloo
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CHATLOOM_DRIVER_MEMORY", "6g"))
@@ -27,7 +28,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "chatloo
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; only where that is unset and the master is local, as in tests, a temporary one.
 
-    A cluster without the setting raises: a folder of one machine is lost with it.
+    A cluster without the setting raises: a folder of one machine is lost with it. Checkpoints that no plan refers to any more
+    are removed where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as in ``local_session``.
     """
     sc = spark.sparkContext
     here = sc.getCheckpointDir()
