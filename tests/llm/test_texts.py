@@ -439,3 +439,17 @@ def test_the_engine_passes_over_no_marked_text(raw_of):
     raw = raw_of([[("user", t, "en"), ("assistant", PROSE, "en")] for t in texts])
     want = {(i, m) for i, t in enumerate(texts) for m in markup.found(t)}
     assert {(r["row_id"], r["markup"]) for r in markup.found_rows(raw).collect()} == want
+
+
+def test_samples_of_many_files_read_some_of_them(spark, raw_of, tmp_path, monkeypatch):
+    from chatloom.llm import samples
+
+    raw_of([[("user", f"text {i}", "en")] for i in range(200)]).repartition(40).write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    files = len(raw.inputFiles())
+    monkeypatch.setattr(samples, "SAMPLE_FILES", files // 3)
+    some = samples._some_files(raw)
+    assert 0 < some.select("_metadata.file_path").distinct().count() < files
+    assert 0 < len(samples.sampled(raw, 1000, "content")) < 200
+    # rows that don't know their files are taken as they are
+    assert len(samples.sampled(raw.groupBy("row_id").agg({"conversation": "first"}).withColumnRenamed("first(conversation)", "conversation"), 10_000, "content")) == 200
