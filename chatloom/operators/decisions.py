@@ -12,6 +12,8 @@ from .messages import flat, users
 
 METHODS = ("turn_column", "user_message_count", "both")
 MODES = ("none", "keep_first", "drop_all")
+#: So many positions of a file are ranked together.
+BLOCK = 100_000
 REASONS = ("KEPT", "NON_ENGLISH", "MULTI_TURN", "EMPTY_FIRST_PROMPT", "DUPLICATE_FIRST_PROMPT")
 
 
@@ -154,16 +156,17 @@ def kept_records(raw: DataFrame, decisions: DataFrame) -> DataFrame:
 def shards(kept: DataFrame, rows_per_file: int) -> DataFrame:
     """(shard_no and the place of each kept record): contiguous runs of ``rows_per_file`` records in corpus order.
 
-    Ranks come from per-file counts, of which there is one row a file, and positions within a file; a window per
-    file, never one over all rows.
+    Ranks come from counts per block of BLOCK positions of a file and from windows within a block, so that a file that
+    holds a third of all rows is split; what one task sums up is a row per block.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("source_file")
-    ranked = kept.select("source_file", "source_row_position", (F.row_number().over(w.orderBy("source_row_position")) - 1).cast("long").alias("_rank"))
-    sizes = kept.groupBy("source_file").agg(F.count("*").alias("_n"))
-    starts = sizes.select(F.col("source_file").alias("_f"), (F.sum("_n").over(Window.orderBy("source_file")) - F.col("_n")).alias("_start"))
-    place = ranked.join(starts, F.col("source_file") == F.col("_f"))
+    rows = kept.select("source_file", "source_row_position", F.floor(F.col("source_row_position") / BLOCK).alias("_block"))
+    ranked = rows.select("*", (F.row_number().over(Window.partitionBy("source_file", "_block").orderBy("source_row_position")) - 1).cast("long").alias("_rank"))
+    sizes = rows.groupBy("source_file", "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("source_file", "_block")) - F.col("_n")
+    starts = sizes.select(F.col("source_file").alias("_f"), F.col("_block").alias("_b"), before.alias("_start"))
+    place = ranked.join(starts, (F.col("source_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
     return place.select("source_file", "source_row_position", F.floor((F.col("_start") + F.col("_rank")) / rows_per_file).cast("long").alias("shard_no"))
 
 

@@ -81,8 +81,10 @@ def test_filtered_keeps_columns(odd_raw):
     assert set(odd_raw.columns) < set(got.columns)
 
 
-def test_shards_are_contiguous(spark):
-    rows = [(f"f{i // 7}", i % 7) for i in range(30)]
+@pytest.mark.parametrize("block", [100_000, 3, 1])
+def test_shards_are_contiguous(spark, monkeypatch, block):
+    monkeypatch.setattr(dec, "BLOCK", block)
+    rows = [(f"f{i // 7}", i % 7 * 2) for i in range(30)]
     got = dec.shards(spark.createDataFrame(rows, "source_file string, source_row_position long"), 4).collect()
     order = sorted(got, key=lambda r: (r["source_file"], r["source_row_position"]))
     assert [r["shard_no"] for r in order] == [i // 4 for i in range(30)]
