@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..operators.messages import messages
 from ..session import checkpoint_dir, spread
-from .credentials import sample
 
-#: Bound of the sample of messages that labelers are weighed and the classifiers trained on.
+#: Read no more, as names and weights come from all messages; a test sets it.
 SAMPLE_MESSAGES = 20_000
+#: More candidates of a type weigh as much as so many against the weights before training, so that a larger table is judged alike.
+MOST_WEIGHT = 300
 #: Up to so many names, of up to so many characters in all, are sent to the executors; more meet the words of each message by a join.
 MOST_NAMES, MOST_NAME_CHARS = 500_000, 8_000_000
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -72,6 +73,12 @@ _NAME = re.compile(
     rf"{_CAPITAL}(?<![\w@.+/-].)(?:{_SMALL}+(?:['’-][A-ZÀ-Ý]?{_SMALL}+)*(?:[ \t]+(?:{_CAP}|[A-Z]\.|van|von|de|da|di|del))*(?![\w@(]|\.\w|/|-\w)|(?<=[A-Z])[A-Z]{{2,}}(?: [A-Z]{{3,}})?(?![\w@]))"
 )
 _SMALL_NAME = re.compile(r"(?<=[Hh]i )[a-z]+(?=,)")
+#: Names in small letters where people introduce themselves.
+_SMALL_SELF = re.compile(
+    rf"(?<!\w)(?i:my name is|me llamo|mi nombre es|je m'appelle|mon nom est|mi chiamo|il mio nome è|ich heiße|mein name ist|meu nome é|chamo-me|me chamo)[ ]+(?P<first>{_SMALL}+(?:['’-]{_SMALL}+)*)(?:[ ]+(?P<last>{_SMALL}+(?:['’-]{_SMALL}+)*))?(?![\w@(]|\.\w|/|-\w)"
+)
+#: Small words that follow a first name and are no last name.
+_NO_LAST = frozenset("and i but from or so here with at in on by y e et und ma mais mas pero aber aus de da di del soy sono je ich eu".split())
 #: No phone number or number of an identity paper is without these runs of digits.
 _PHONE_SIGN = re.compile(r"\d(?:[ .\-/()]{0,3}\d){7}")
 _ID_SIGN = re.compile(r"\d\d ?\d\d ?\d\d|\d{3}(?:-\d\d-|\.\d{3}\.)|\d\d[A-Z]\d\d[A-Z]\d{3}")
@@ -201,7 +208,8 @@ def _gazetteer(rows) -> Gazetteer:
 
 def _words(text: str | None) -> list[str]:
     """The words of a text that may be looked up as names."""
-    return sorted({w.capitalize() for p in (_NAME, _SMALL_NAME) for m in p.finditer(text or "") for w in m[0].split()})
+    told = {w.capitalize() for m in _SMALL_SELF.finditer(text or "") for w in m.groups() if w}
+    return sorted(told.union(w.capitalize() for p in (_NAME, _SMALL_NAME) for m in p.finditer(text or "") for w in m[0].split()))
 
 
 def with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -338,6 +346,11 @@ def spans(text: str, names: Gazetteer) -> list[Span]:
                 (not (known or said or greeted or with_item or surname), -1),
                 (bool(re.match(r"[\w]*[(_=.]\w|\s*=", after)) or text[a - 1 : a] in ("_", ".", "/", "$", "#"), -1),
             )))
+    for m in _SMALL_SELF.finditer(text):
+        known, surname = m["first"].capitalize() in names.first, (m["last"] or "").capitalize() in names.last
+        a, b = m.start("first"), m.end("last" if surname or (m["last"] and m["last"] not in _NO_LAST) else "first")
+        if known and free(a, b):
+            out.append(Span(a, b, "name", _vote((True, 1), (surname, 1), (True, 1), (False, 1), (beside(a, b), 1), (bool(_PRODUCT.match(text[b : b + 24])), -1), (False, -1), (False, -1), (False, -1))))
     return out
 
 
@@ -373,18 +386,21 @@ def _row(s: Span) -> list[float]:
     return [1.0, *map(float, s.votes), float(plus), float(minus), float(plus > minus)]
 
 
-def em(votes: np.ndarray, rounds: int = 30) -> np.ndarray:
+def em(votes: np.ndarray, rounds: int = 30, counts: np.ndarray | None = None) -> np.ndarray:
     """Probability that each candidate is an item, by expectation-maximisation over the labelers' reliabilities.
 
     A labeler has a rate of voting on items and on others; both are smoothed and start from the majority vote.
+    With ``counts`` each row of ``votes`` stands for so many candidates.
     """
+    n = np.ones(len(votes)) if counts is None else counts
     p = np.clip(0.5 + 0.3 * votes.sum(1), 0.02, 0.98)
     said = votes != 0
-    sign = np.sign(votes.sum(0) + 1e-9)
+    sign = np.sign((n[:, None] * votes).sum(0) + 1e-9)
     for _ in range(rounds):
-        prior = np.clip(p.mean(), 0.02, 0.98)
-        on = ((p[:, None] * said).sum(0) + 0.5) / (p.sum() + 1)
-        off = (((1 - p)[:, None] * said).sum(0) + 0.5) / ((1 - p).sum() + 1)
+        items, others = n * p, n * (1 - p)
+        prior = np.clip(items.sum() / n.sum(), 0.02, 0.98)
+        on = ((items[:, None] * said).sum(0) + 0.5) / (items.sum() + 1)
+        off = ((others[:, None] * said).sum(0) + 0.5) / (others.sum() + 1)
         # a labeler keeps its direction: it may be unreliable, but doesn't turn round
         on, off = np.where(sign > 0, np.maximum(on, off), np.minimum(on, off)), np.where(sign > 0, np.minimum(on, off), np.maximum(on, off))
         log_odds = np.log(prior / (1 - prior)) + np.where(said, np.log(on / off), np.log((1 - on) / (1 - off))).sum(1)
@@ -392,31 +408,46 @@ def em(votes: np.ndarray, rounds: int = 30) -> np.ndarray:
     return p
 
 
-def train(texts: list[str], names: Gazetteer | None = None) -> Model:
-    """Labeler reliabilities and one logistic span classifier per type, from unlabelled texts; the gazetteer as given, else from them."""
-    names = names or learn_names(texts)
-    by: dict[str, list[Span]] = {k: [] for k in TYPES}
-    for t in texts:
-        for s in spans(t, names):
-            by[s.kind].append(s)
+def _fit(x: np.ndarray, p: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Weights of the logistic regression of ``p`` on ``x``, drawn to ``start``: Newton steps, each halved until the loss falls, else they may run away."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(n @ (np.logaddexp(0, z) - p * z)) + RIDGE / 2 * float((w - start) @ (w - start))
+
+    w, here = start.copy(), loss(start)
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (n * (q - p)) + RIDGE * (w - start)
+        h = (x * (n * q * (1 - q))[:, None]).T @ x + RIDGE * np.eye(x.shape[1])
+        step, length = np.linalg.solve(h, g), 1.0
+        while (there := loss(w - length * step)) > here and length > 1e-6:
+            length /= 2
+        if there >= here:
+            break
+        w, here = w - length * step, there
+    return w
+
+
+def weigh(patterns: dict[tuple[str, tuple[int, ...]], int]) -> dict[str, list[float]]:
+    """Labeler reliabilities and one logistic span classifier per type, from how many candidates have each pattern of votes."""
     weights = {}
     for kind in TYPES:
-        n = _PRIOR[kind]
-        start = np.array([-0.5, *[1.5] * n, 0.0, 0.0, 1.0])
-        got = by[kind]
-        if len(got) >= 20:
-            votes = np.array([s.votes for s in got], float)
-            p = em(votes)
-            x = np.array([_row(s) for s in got])
-            w = start.copy()
-            for _ in range(30):
-                q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                g = x.T @ (q - p) + RIDGE * (w - start)
-                h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + RIDGE * np.eye(x.shape[1])
-                w = w - np.linalg.solve(h, g)
-            start = w
+        start = np.array([-0.5, *[1.5] * _PRIOR[kind], 0.0, 0.0, 1.0])
+        got = sorted((votes, n) for (k, votes), n in patterns.items() if k == kind)
+        total = sum(n for _, n in got)
+        if total >= 20:
+            votes, n = np.array([v for v, _ in got], float), np.array([n for _, n in got], float)
+            x = np.array([_row(Span(0, 0, kind, v)) for v, _ in got])
+            start = _fit(x, em(votes, counts=n), n * min(1.0, MOST_WEIGHT / total), start)
         weights[kind] = start.tolist()
-    return Model(names, weights)
+    return weights
+
+
+def train(texts: list[str], names: Gazetteer | None = None) -> Model:
+    """The model of unlabelled texts; the gazetteer as given, else from them."""
+    names = names or learn_names(texts)
+    return Model(names, weigh(Counter((s.kind, s.votes) for t in texts for s in spans(t, names))))
 
 
 def _sure(s: Span) -> bool | None:
@@ -432,12 +463,15 @@ def _sure(s: Span) -> bool | None:
 
 def found(text: str | None, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, type) of the items of a text, in order and apart; none for null and blank texts."""
-    if not text or not text.strip():
-        return []
+    return kept(spans(text, model.names), model.weights) if text and text.strip() else []
+
+
+def kept(candidates: list[Span], weights: dict[str, list[float]]) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the items among the candidates of a text."""
     hits = []
-    for s in spans(text, model.names):
+    for s in candidates:
         sure = _sure(s)
-        z = sum(w * f for w, f in zip(model.weights[s.kind], _row(s), strict=True))
+        z = sum(w * f for w, f in zip(weights[s.kind], _row(s), strict=True))
         if sure is not False and 1 / (1 + exp(-max(-30.0, min(30.0, z)))) >= 0.5:
             hits.append((s.start, s.end, s.kind))
     out, upto = [], -1
@@ -459,48 +493,90 @@ def replace(text: str | None, model: Model) -> str | None:
     return "".join(parts) + text[at:]
 
 
-def scan(raw: DataFrame) -> DataFrame:
-    """(row_id, msg_pos, items array<struct<start_pos,end_pos,pii_type>>, replaced) of every message.
+_ITEM = pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("pii_type", pa.string())])
+_SPAN = pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("kind", pa.string()), ("votes", pa.list_(pa.int8()))])
 
-    Names are learnt from the introductions of all messages; weights are trained on a bounded sample; then one pass
-    goes over each whole message where it lies, without a shuffle unless there are more than MOST_NAMES names.
-    Null contents have no items and stay null; an empty table gives no rows; other columns are not read.
-    """
+
+def _named(raw: DataFrame) -> tuple[DataFrame, Gazetteer | None]:
+    """The messages (row_id, msg_pos, content, first, last), and the names of all; None where each message has its own in first and last."""
     spark = raw.sparkSession
     rows = messages(raw, "row_id").select(F.col("row_id").cast("long").alias("row_id"), "msg_pos", "content")
     checkpoint_dir(spark)
     names = all_names(rows).checkpoint()
     size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("chars")).first()
-    joined = size["n"] > MOST_NAMES or size["chars"] > MOST_NAME_CHARS
-    texts = sample(raw, SAMPLE_MESSAGES)
-    if joined:
-        asked = spark.createDataFrame([(w,) for w in {w for t in texts for w in _words(t)}], "word string")
-        known, rows = _gazetteer(names.join(asked, "word", "left_semi").collect()), with_names(rows, names)
-    else:
-        known = _gazetteer(names.collect())
-        empty = F.array().cast("array<string>")
-        rows = spread(rows).select("*", empty.alias("first"), empty.alias("last"))
-    model = spark.sparkContext.broadcast(train(texts, known))
-    item = pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("pii_type", pa.string())])
+    if size["n"] > MOST_NAMES or size["chars"] > MOST_NAME_CHARS:
+        return with_names(rows, names), None
+    empty = F.array().cast("array<string>")
+    return spread(rows).select("*", empty.alias("first"), empty.alias("last")), _gazetteer(names.collect())
+
+
+def _gazetteers(b: pa.RecordBatch, known: Gazetteer | None) -> list[Gazetteer]:
+    """The names to look up in each message of a batch of ``_named``."""
+    if known is not None:
+        return [known] * b.num_rows
+    return [Gazetteer(_FIRST_NAMES.union(f), frozenset(n)) for f, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+
+
+def _candidates(rows: DataFrame, known) -> DataFrame:
+    """(row_id, msg_pos, spans array<struct<start_pos,end_pos,kind,votes>>) of the messages with candidates, checkpointed: places and votes, no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [spans(t, g) if t and t.strip() else [] for t, g in zip(b.column(2).to_pylist(), _gazetteers(b, known.value), strict=True)]
+            at = pa.array([i for i, x in enumerate(got) if x], pa.int64())
+            told = pa.array([[(x.start, x.end, x.kind, x.votes) for x in found] for found in got if found], pa.list_(_SPAN))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), told], names=["row_id", "msg_pos", "spans"])
+
+    return rows.mapInArrow(run, "row_id long, msg_pos int, spans array<struct<start_pos:int,end_pos:int,kind:string,votes:array<tinyint>>>").checkpoint()
+
+
+def _weights(candidates: DataFrame) -> dict[str, list[float]]:
+    """The weights from the votes on all candidates: their patterns are counted, of which a type has at most two to the power of its labelers."""
+    rows = candidates.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()
+    return weigh({(r["kind"], tuple(r["votes"])): r["count"] for r in rows})
+
+
+def scan(raw: DataFrame) -> DataFrame:
+    """(row_id, msg_pos, items array<struct<start_pos,end_pos,pii_type>>, replaced) of every message.
+
+    Names are learnt from the introductions of all messages, weights from the votes on the candidates of all; then a last
+    pass goes over each whole message where it lies, without a shuffle unless there are more than MOST_NAMES names.
+    Null contents have no items and stay null; an empty table gives no rows; other columns are not read.
+    """
+    sc = raw.sparkSession.sparkContext
+    rows, names = _named(raw)
+    known = sc.broadcast(names)
+    weights = sc.broadcast(_weights(_candidates(rows, known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            models = [model.value._replace(names=Gazetteer(_FIRST_NAMES.union(f), frozenset(n))) for f, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)] if joined else [model.value] * len(texts)
-            hits = [[{"start_pos": x, "end_pos": y, "pii_type": k} for x, y, k in found(t, m)] for t, m in zip(texts, models, strict=True)]
+            hits = [[{"start_pos": x, "end_pos": y, "pii_type": k} for x, y, k in found(t, Model(g, weights.value))] for t, g in zip(texts, _gazetteers(b, known.value), strict=True)]
             clean = []
             for t, h in zip(texts, hits, strict=True):
                 for x in reversed(h):
                     t = t[: x["start_pos"]] + f"[{x['pii_type'].upper()}]" + t[x["end_pos"] :]
                 clean.append(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(item)), pa.array(clean, pa.string())], names=["row_id", "msg_pos", "items", "replaced"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(_ITEM)), pa.array(clean, pa.string())], names=["row_id", "msg_pos", "items", "replaced"])
 
     return rows.mapInArrow(run, "row_id long, msg_pos int, items array<struct<start_pos:int,end_pos:int,pii_type:string>>, replaced string")
 
 
 def found_rows(raw: DataFrame) -> DataFrame:
-    """(row_id, msg_pos, start_pos, pii_type): one row per item; repeated rows come out once."""
-    return scan(raw).select("row_id", "msg_pos", F.explode("items").alias("x")).select("row_id", "msg_pos", F.col("x.start_pos").alias("start_pos"), F.col("x.pii_type").alias("pii_type")).distinct()
+    """(row_id, msg_pos, start_pos, pii_type): one row per item; repeated rows come out once. Texts are searched for candidates once."""
+    sc = raw.sparkSession.sparkContext
+    rows, names = _named(raw)
+    candidates = _candidates(rows, sc.broadcast(names))
+    weights = sc.broadcast(_weights(candidates))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [kept([Span(s["start_pos"], s["end_pos"], s["kind"], tuple(s["votes"])) for s in spans], weights.value) for spans in b.column(2).to_pylist()]
+            at = pa.array([i for i, x in enumerate(got) for _ in x], pa.int64())
+            starts, kinds = pa.array([a for x in got for a, _, _ in x], pa.int32()), pa.array([k for x in got for _, _, k in x], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), starts, kinds], names=["row_id", "msg_pos", "start_pos", "pii_type"])
+
+    return candidates.mapInArrow(run, "row_id long, msg_pos int, start_pos int, pii_type string").distinct()
 
 
 def replaced_rows(raw: DataFrame) -> DataFrame:

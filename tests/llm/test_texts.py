@@ -294,6 +294,34 @@ def test_names_are_learnt_from_all_messages(raw_of, monkeypatch):
     assert pii.scan(raw).orderBy("row_id", "msg_pos").collect() == got
 
 
+def test_weights_do_not_run_away():
+    made = [
+        ("Write to nora{}@mail.example please.", 149), ("```\nssh-ed25519 AAAAC3Nza{} ci@lodigina\n```", 35), ("The remote is git@git.invalid:malu{}/core.", 23), ("On the prompt admin@ragu{}:~$ it stops.", 22),
+        ("Send it as user@host in template {}.", 22), ('connect("postgresql://svc_tidu{}:River271-@tidugefe.internal.invalid:5432/main")', 17), ("The @Override annotation in file {}.", 15),
+    ]
+    model = pii.train([t.format("abcdefghij"[i % 10]) for t, n in made for i in range(n)])
+    assert [k for _, _, k in pii.found("Write to felix@mail.example please.", model)] == ["email"]
+
+
+def test_names_in_small_letters_after_an_introduction(pii_model):
+    for text, want in (("my name is elena drayrune and i am new here.", "[NAME] and i am new here."), ("Me llamo elena y soy nueva.", "[NAME] y soy nueva."), ("my name is not known.", "not known.")):
+        assert pii.replace(text, pii_model).partition("name is " if "name is " in text else "llamo ")[2] == want
+
+
+def test_weights_count_all_messages(spark, raw_of, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_MESSAGES", 3)
+    texts = ["Write to nora.a@mail.example please.", "Send it as user@host in the template.", "Call me on +1-312-555-0190 after lunch.", "Hi Nora, one more thing.", "The loop stops."] * 30
+    raw = raw_of([[("user", t, "en")] for t in texts])
+    told = []
+    monkeypatch.setattr(pii, "weigh", lambda patterns, weigh=pii.weigh: told.append(patterns) or weigh(patterns))
+    model = pii.train(texts)
+    got = {tuple(r) for r in pii.found_rows(raw).collect()}
+    assert told[1] == told[0] and sum(told[0].values()) == 120
+    assert got == {(i, 0, a, k) for i, t in enumerate(texts) for a, _, k in pii.found(t, model)}
+    spots = pii.scan(raw).selectExpr("row_id", "msg_pos", "explode(items) AS x").selectExpr("row_id", "msg_pos", "x.start_pos", "x.pii_type")
+    assert {tuple(r) for r in spots.collect()} == got
+
+
 def test_em_prefers_agreeing_labelers():
     import numpy as np
 
