@@ -116,6 +116,20 @@ def test_no_credentials(secret_model, text):
     assert credentials.redact(text, secret_model) == text
 
 
+def test_credentials_are_learnt_from_all_messages(spark, raw_of, monkeypatch):
+    monkeypatch.setattr(credentials, "SAMPLE_MESSAGES", 3, raising=False)
+    texts = [f'api_key = "{SECRET[::-1]}{i}"\nhost = "srv{i}.example"\ncommit 9af1426319ded0f82ea5748abfda5601f93c2a{i:02d}\ntoken_count = "of the connection pool"' for i in range(40)]
+    raw = raw_of([[("user", t, "en"), ("assistant", "The session store returns it.", "en")] for t in texts])
+    _, values, model = credentials.learnt(raw)
+    own = credentials.train([x for t in texts for x in (t, "The session store returns it.")])
+    assert model.words.n == own.words.n and values.count() == 40
+    assert model.weights == pytest.approx(own.weights, abs=0.5) and tuple(model.weights) != credentials._PRIOR
+    got = {tuple(r) for r in credentials.found_rows(raw).collect()}
+    assert got == {(i, 0, t.index(SECRET[::-1])) for i, t in enumerate(texts)}
+    spots = credentials.scan(raw).selectExpr("row_id", "msg_pos", "explode(spans) AS s").selectExpr("row_id", "msg_pos", "s.start_pos")
+    assert {tuple(r) for r in spots.collect()} == got
+
+
 SENTENCES = {
     "en": ["The reason is that the loop stops before the last element.", "You should call the function only once and pass the result on.", "There is no need to copy the list here.", "After that change the tests pass again."],
     "de": ["Das passiert, weil die Schleife endet, bevor das letzte Element gelesen wurde.", "Du solltest die Funktion nur einmal aufrufen.", "Es ist nicht nötig, die Liste zu kopieren.", "Nach dieser Änderung laufen die Tests wieder."],
