@@ -476,6 +476,22 @@ def test_a_prompt_without_an_answer_is_an_empty_pair(raw_of):
     assert sorted(tuple(r) for r in pairs.found_rows(raw).collect()) == [(0, 0, "empty"), (1, 0, "empty")]
 
 
+def test_defects_are_told_from_all_labelled_messages(raw_of, monkeypatch):
+    from chatloom.llm import samples
+
+    monkeypatch.setattr(samples, "SAMPLE_CHARS", 1)
+    monkeypatch.setattr(samples.sampled, "__kwdefaults__", {"chars": 1})
+    beside = "The oven is closed on Mondays."
+    chats = [[("user", t, c), ("assistant", " ".join(SENTENCES[c]), c)] for t, c in LABELLED * 2]
+    chats += [[("user", PROMPT, "en"), ("assistant", a, "en")] for a in [f"I'm sorry, but I can't help with that request. {beside}"] * 3 + ["I can't help with that request. Use two loops.", "N/A", PROMPT.upper(), " ".join(SENTENCES["de"]), "There is no need to copy the list here. The reason is that the loop"]]
+    model = pairs.train([(t, language.label_code(c)) for chat in chats for _, t, c in chat])
+    want = {(i, 0): pairs.defect(chat[0][1], chat[1][1], model, pairs._automaton()) for i, chat in enumerate(chats)}
+    raw = raw_of(chats)
+    assert pairs.all_stopwords(pairs.labelled(raw)) == model.words
+    assert {(r["row_id"], r["msg_pos"]): r["defect"] for r in pairs.judge(raw).collect()} == want
+    assert list(want.values())[-8:] == ["refusal"] * 3 + [None, "empty", "copy", "wrong_language", "truncated"]
+
+
 def test_the_engine_passes_over_no_marked_text(raw_of):
     texts = [t for t, want in MARKED if t and want] + ["é_x_ y", " - item\n", "٣. Punkt", "a # b", "h2. Head", "x\n;term"]
     raw = raw_of([[("user", t, "en"), ("assistant", PROSE, "en")] for t in texts])
